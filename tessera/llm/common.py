@@ -22,7 +22,7 @@ def ascii_lower(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """The words of a text, in order; null gives an empty array."""
-    return F.filter(F.split(F.coalesce(c, F.lit("")), SPACE, -1), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(c, F.lit("")), SPACE, -1), "")
 
 
 def let(value: Column, body) -> Column:

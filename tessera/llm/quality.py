@@ -20,14 +20,14 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, words
+from .common import let, packed, words
 
 SYMBOLS = r"[^#*$%&|<>]+"
 #: The query's limits. Base: fewest words; most repeated words in 100.
 MIN_WORDS, MAX_REPEAT = 50, 50
 #: The cascade's own: symbols in 100 words, capitals in 100 characters, repeated lines in 100 lines, mean word length.
 MAX_SYMBOLS, MAX_UPPER, MAX_DUP_LINES, MEAN_CHARS = 20, 40, 30, (2, 25)
-POSITION_BITS, SAMPLE_ROWS = 24, 256
+POSITION_BITS, SAMPLE_ROWS = 24, 64
 
 
 class Rule(NamedTuple):
@@ -56,28 +56,30 @@ def n_dup_lines(own: Column) -> Column:
     return (F.size(own) - F.size(F.array_distinct(own))).cast("bigint")
 
 
-def n_repeat_words(w: Column) -> Column:
-    """Words in three-word windows that the text has twice or more."""
-    low = (1 << POSITION_BITS) - 1
-    n = F.size(w)
-
-    def window_hash(i: Column) -> Column:
-        return F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("bigint"))
+def with_repeat_words(df: DataFrame, w: str = "_w", name: str = "n_repeat_words") -> DataFrame:
+    """Adds the number of words in three-word windows that the text has twice or more.
 
-    def same(a: Column, b: Column) -> Column:
-        return F.coalesce(F.shiftright(a, POSITION_BITS) == F.shiftright(b, POSITION_BITS), F.lit(False))
-
-    def alike(e: Column) -> Column:
-        near = F.filter(e, lambda x, i: same(x, F.get(e, i - 1)) | same(x, F.get(e, i + 1)))
-        return F.transform(near, lambda x: x.bitwiseAND(F.lit(low)).cast("int"))
+    Window hashes that are all distinct end it there, as for most texts. Else the few windows whose hash bits have an equal neighbour are
+    put in order by their words, so that equal hashes of different words don't count. Each step is a column
+    of its own: sorting and distinct then run as generated code on plain longs, which they don't inside a lambda.
+    """
+    low = (1 << POSITION_BITS) - 1
+    n, word = F.size(w), lambda i: F.get(F.col(w), i)
 
-    def confirmed(g: Column) -> Column:
-        return F.filter(g, lambda x, i: F.coalesce(x["g"] == F.get(g, i - 1)["g"], F.lit(False)) | F.coalesce(x["g"] == F.get(g, i + 1)["g"], F.lit(False)))
+    def near(e: str, key) -> Column:
+        return F.filter(e, lambda x, i: (key(x) == key(F.get(F.col(e), i - 1))) | (key(x) == key(F.get(F.col(e), i + 1))))
 
-    spots = F.when(n >= 4, F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), window_hash)).otherwise(F.array().cast("array<bigint>"))
-    windows = let(F.sort_array(spots), lambda e: F.array_sort(F.transform(alike(e), lambda p: F.struct(F.concat_ws(" ", F.get(w, p), F.get(w, p + 1), F.get(w, p + 2)).alias("g"), p.alias("p")))))
-    covered = let(windows, lambda g: F.flatten(F.transform(confirmed(g), lambda x: F.array(x["p"], x["p"] + 1, x["p"] + 2))))
-    return F.size(F.array_distinct(covered)).cast("bigint")
+    steps = {
+        "_h": F.when(n < 4, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(word(i), word(i + 1), word(i + 2)))),
+        "_e": F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.sort_array(F.transform("_h", lambda x, i: x.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("bigint"))))).otherwise(F.array().cast("array<bigint>")),
+        "_p": F.transform(near("_e", lambda x: F.shiftright(x, POSITION_BITS)), lambda x: x.bitwiseAND(F.lit(low)).cast("int")),
+        "_g": F.array_sort(F.transform("_p", lambda p: F.struct(F.concat_ws(" ", word(p), word(p + 1), word(p + 2)).alias("g"), p.alias("p")))),
+        "_s": F.transform(near("_g", lambda x: x["g"]), lambda x: x["p"]),
+        name: F.size(F.array_distinct(F.flatten(F.transform("_s", lambda p: F.array(p, p + 1, p + 2))))).cast("bigint"),
+    }
+    for step, value in steps.items():
+        df = df.withColumn(step, value)
+    return df.drop(*[x for x in steps if x != name])
 
 
 def order_rules(df: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
@@ -108,18 +110,16 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(None).cast("string") if out is None else out
 
 
-def rules(text: Column, w: Column | None = None, symbols: Column | None = None, chars: Column | None = None, dup: Column | None = None, repeat: Column | None = None) -> list[Rule]:
-    """The production rules over a text. Columns that hold a figure already can be given."""
+def rules(text: Column, w: Column | None = None, symbols: Column | None = None, chars: Column | None = None, dup: Column | None = None) -> list[Rule]:
+    """The production rules over one text's own figures. Columns that hold a figure already can be given."""
     w = words(text) if w is None else w
     n = F.size(w)
     symbols = n_symbols(text) if symbols is None else symbols
     chars = word_chars(w) if chars is None else chars
     own = lines(text)
     dup = let(own, n_dup_lines) if dup is None else dup
-    repeat = let(w, n_repeat_words) if repeat is None else repeat
     return [
         Rule("short", n < MIN_WORDS),
-        Rule("repeat", 100 * repeat > MAX_REPEAT * n),
         Rule("symbols", 100 * symbols > MAX_SYMBOLS * n),
         Rule("capitals", 100 * n_upper(text) > MAX_UPPER * F.length(text)),
         Rule("lines", 100 * dup > MAX_DUP_LINES * F.size(own)),
@@ -128,23 +128,27 @@ def rules(text: Column, w: Column | None = None, symbols: Column | None = None,
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that no rule rejects, columns as they were."""
-    ordered = order_rules(docs, rules(F.col("text")))
-    return docs.where(verdict(ordered).isNull())
+    """The documents that no rule rejects, columns as they were. Repeats, by far the costliest, are counted for what the cascade has left."""
+    rows = docs.select(packed(docs), "text")
+    left = rows.where(verdict(order_rules(rows, rules(F.col("text")))).isNull())
+    counted = with_repeat_words(left.withColumn("_w", words(F.col("text"))))
+    return counted.where(100 * F.col("n_repeat_words") <= MAX_REPEAT * F.size("_w")).select("_doc.*")
 
 
 def measured(docs: DataFrame) -> DataFrame:
     """docs with _w, _own and the base figures."""
     w = F.col("_w")
     out = docs.withColumns({"_w": words(F.col("text")), "_own": lines(F.col("text"))})
-    return out.withColumns({"n_words": F.size(w).cast("bigint"), "word_chars": word_chars(w), "n_symbols": n_symbols(F.col("text")), "n_dup_lines": n_dup_lines(F.col("_own")), "n_repeat_words": n_repeat_words(w)})
+    out = out.withColumns({"n_words": F.size(w).cast("bigint"), "word_chars": word_chars(w), "n_symbols": n_symbols(F.col("text")), "n_dup_lines": n_dup_lines(F.col("_own"))})
+    return with_repeat_words(out)
 
 
 def op9(docs: DataFrame) -> DataFrame:
     figures = measured(docs.select("doc_id", "text"))
-    own = rules(F.col("text"), F.col("_w"), F.col("n_symbols"), F.col("word_chars"), F.col("n_dup_lines"), F.col("n_repeat_words"))
-    ordered = order_rules(figures, own)
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
+    own = rules(F.col("text"), F.col("_w"), F.col("n_symbols"), F.col("word_chars"), F.col("n_dup_lines"))
+    repeat = Rule("repeat", 100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
+    ordered = order_rules(figures, [*own, repeat])
+    failed = (F.col("n_words") < MIN_WORDS) | repeat.rejects
     return figures.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & verdict(ordered).isNull()).alias("kept"))
 
 
