@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality, sharding, urls
+from . import chat, mixing, neardup, quality, sharding, substrings, urls
 from .common import table
 
 
@@ -16,6 +16,8 @@ def queries() -> dict:
         "op2_pareto_mixing": _over("documents", mixing.op2),
         "op3_bloom_url_filter": _over("pages", urls.op3),
         "op5_chat_formatting": _over("conversations", chat.op5),
+        "op6_minhash_near_dedup": _over("documents", neardup.op6),
+        "op8_rlz_substring_dedup": _over("documents", substrings.op8),
         "op9_quality_cascade": _over("documents", quality.op9),
     }
 
