@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrowwords import BASES, Sums, Words, chunks, mixed
-from .common import durable, packed
+from .common import durable, let, packed
 from .components import components
 
 SHINGLE, POSITIONS, LANES = 5, 48, 4
@@ -84,25 +84,43 @@ def signatures(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def _keys(reps: DataFrame) -> DataFrame:
-    """(key, id, n) for each chunk of a signature and each position left out of it."""
-    keys = [F.xxhash64(F.lit(c * LANES + lane), F.col("sig")[c].bitwiseAND(F.lit(_without(lane)))) for c in range(CHUNKS) for lane in range(LANES)]
-    return reps.select("id", "n", F.explode(F.array(*keys)).alias("key"))
+    """(key, place, id, n) for each chunk of a signature and each position left out of it. place is chunk * LANES + position."""
+    keys = [F.struct(F.xxhash64(F.lit(c * LANES + lane), F.col("sig")[c].bitwiseAND(F.lit(_without(lane)))).alias("key"), F.lit(c * LANES + lane).alias("place")) for c in range(CHUNKS) for lane in range(LANES)]
+    return reps.select("id", "n", F.inline(F.array(*keys)))
 
 
 def _without(lane: int) -> int:
     return int(np.uint64(~(0xFFFF << (16 * lane)) & ((1 << 64) - 1)).view(np.int64))
 
 
+def _differing(a: Column, b: Column, c: int) -> Column:
+    """A bit for each position of chunk c in which two signatures differ."""
+    x = a[c].bitwiseXOR(b[c])
+    for shift in (8, 4, 2, 1):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+    return x.bitwiseAND(F.lit(0x0001000100010001))
+
+
 def distance(a: Column, b: Column) -> Column:
     """Positions in which two signatures differ."""
+    return reduce(lambda p, q: p + q, (F.bit_count(_differing(a, b, c)) for c in range(CHUNKS)))
+
 
-    def differing(c: int) -> Column:
-        x = a[c].bitwiseXOR(b[c])
+def first_place(a: Column, b: Column) -> Column:
+    """The first place whose key two signatures share: each pair is listed in that bucket alone. In lambdas, as unrolled it outgrows a method."""
+
+    def lanes(x: Column, y: Column) -> Column:
+        bits = x.bitwiseXOR(y)
         for shift in (8, 4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        return F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
+            bits = bits.bitwiseOR(F.shiftrightunsigned(bits, shift))
+        return bits.bitwiseAND(F.lit(0x0001000100010001))
+
+    def place(bits: Column) -> Column:
+        chunk = F.array_position(F.transform(bits, lambda x: F.bit_count(x) <= 1), F.lit(True)).cast("int") - 1
+        lane = F.get(bits, chunk)
+        return chunk * LANES + F.when(lane == 1 << 16, 1).when(lane == 1 << 32, 2).when(lane == 1 << 48, 3).otherwise(0)
 
-    return reduce(lambda p, q: p + q, (differing(c) for c in range(CHUNKS)))
+    return let(F.zip_with(a, b, lanes), place)
 
 
 def _close(n: Column, m: Column, link: int) -> Column:
@@ -110,11 +128,11 @@ def _close(n: Column, m: Column, link: int) -> Column:
     return F.least(n, m) * OF >= F.greatest(n, m) * link
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, link: int = LINK) -> DataFrame:
-    """The pairs (u, v) whose whole sets are similar enough, as (u, v)."""
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (u, v) with the sizes of both whole sets' intersection and union."""
     a, b = sets.select(F.col("id").alias("u"), F.col("shingles").alias("_a")), sets.select(F.col("id").alias("v"), F.col("shingles").alias("_b"))
-    both = F.size(F.array_intersect("_a", "_b"))
-    return pairs.join(a, "u").join(b, "v").where(both * OF >= (F.size("_a") + F.size("_b") - both) * link).select("u", "v")
+    met = pairs.join(a, "u").join(b, "v").withColumn("both", F.size(F.array_intersect("_a", "_b")))
+    return met.select("u", "v", "both", (F.size("_a") + F.size("_b") - F.col("both")).alias("either"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", link: int = LINK) -> DataFrame:
@@ -123,22 +141,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", link: int = LINK) -> D
     some = slim.where((F.col("n") > 0) & F.col("id").isNotNull())
     reps = durable(some.groupBy("d1", "d2", "n").agg(F.min("id").alias("id"), F.first("sig").alias("sig")))
     keys = _keys(reps)
-    buckets = keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1")
-    shared = durable(keys.join(buckets, "key").select("key", "id", "n", "hub"))
+    buckets = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("members")).where("members > 1")
+    shared = durable(keys.join(buckets, "key").select("key", "place", "id", "n", "hub"))
     sets = durable(docs.select(F.col(key).cast("bigint").alias("id"), "text").join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_set_rows, "id bigint, shingles array<bigint>"))
-    stars = shared.where((F.col("id") != F.col("hub.id")) & _close(F.col("n"), F.col("hub.n"), link)).select(F.col("id").alias("u"), F.col("hub.id").alias("v")).distinct()
-    edges = durable(confirmed(stars, sets, link))
+    # every member against its bucket's hub; the distance to the hub is kept, linked or not
+    stars = durable(compared(shared.where(F.col("id") != F.col("hub")).select(F.col("id").alias("u"), F.col("hub").alias("v")).distinct(), sets))
+    edges = stars.where(F.col("both") * OF >= F.col("either") * link).select("u", "v")
     label = components(edges)
-    at = shared.select("key", "id", "n").join(label, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
+    at = shared.join(label, F.col("id") == F.col("node"), "left").select("key", "place", "id", "n", "hub", F.coalesce("component", "id").alias("c"))
     mixed_keys = at.groupBy("key").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo < _hi").select("key")
-    # what meets in a bucket across components, one row a key, id, with the signature for the distance
-    open_rows = durable(at.join(mixed_keys, "key").join(reps.select("id", "sig"), "id"))
+    far = stars.select(F.col("u").alias("id"), F.col("v").alias("hub"), (1 - F.col("both") / F.col("either")).alias("far"))
+    # what meets in a bucket across components, with its distance from the hub and its signature
+    open_rows = durable(at.join(mixed_keys, "key").where(F.col("id") != F.col("hub")).join(far, ["id", "hub"]).join(reps.select("id", "sig"), "id"))
     a, b = open_rows.alias("a"), open_rows.alias("b")
-    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.id") > F.col("b.id")) & (F.col("a.c") != F.col("b.c")) & _close(F.col("a.n"), F.col("b.n"), link)
-    tried = stars.select(F.col("u").alias("_u"), F.col("v").alias("_v"))
-    rest = a.join(b, apart & (distance(F.col("a.sig"), F.col("b.sig")) <= DISTANCE)).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
-    rest = durable(rest.join(tried, (F.col("u") == F.col("_u")) & (F.col("v") == F.col("_v")), "left_anti"))
-    more = durable(confirmed(rest, sets, link))
+    # Jaccard distance is a metric: two sets can't be closer than the difference of their distances from a third
+    near_enough = F.abs(F.col("a.far") - F.col("b.far")) <= (OF - link) / OF + 1e-9
+    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.id") > F.col("b.id")) & (F.col("a.c") != F.col("b.c")) & near_enough & _close(F.col("a.n"), F.col("b.n"), link)
+    sigs = F.col("a.sig"), F.col("b.sig")
+    rest = a.join(b, apart & (distance(*sigs) <= DISTANCE) & (first_place(*sigs) == F.col("a.place"))).select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
+    more = durable(compared(rest, sets).where(F.col("both") * OF >= F.col("either") * link).select("u", "v"))
     if not more.isEmpty():
         label = components(edges.union(more))
     classes = reps.select("d1", "d2", "n", F.col("id").alias("rep")).join(label, F.col("rep") == F.col("node"), "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))

@@ -23,7 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrowwords import BASES, Sums, Words, chunks, mixed
@@ -53,7 +53,7 @@ def _block_keys(words: np.ndarray) -> np.ndarray:
 
 
 def _first_pass(batches):
-    kinds = pa.schema([("id", pa.int64()), ("t", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sha", pa.string()), ("keys", pa.list_(pa.int64()))])
+    kinds = pa.schema([("id", pa.int64()), ("t", pa.int32()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sha", pa.string()), ("keys", pa.list_(pa.int64()))])
     for b in chunks(batches):
         w = Words(b.column("text"))
         h = w.hashes()
@@ -119,8 +119,8 @@ def _cut(with_text: bool):
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", with_text: bool = False) -> DataFrame:
     """For each row of docs: doc_id, n_words, n_removed, kept_sha256, n_factors, kept_text (null unless asked for)."""
-    rows = docs.select(F.col(key).cast("bigint").alias("id"), F.xxhash64("text").alias("t"), "text")
-    slim = durable(rows.mapInArrow(_first_pass, "id bigint, t bigint, n bigint, d1 bigint, d2 bigint, sha string, keys array<bigint>"))
+    rows = docs.select(F.col(key).cast("bigint").alias("id"), F.hash("text").alias("t"), "text")
+    slim = durable(rows.mapInArrow(_first_pass, "id bigint, t int, n bigint, d1 bigint, d2 bigint, sha string, keys array<bigint>"))
     # the least id of a class stands for it; of null ids nothing is said
     class_of = slim.where(F.col("id").isNotNull() & (F.col("n") >= WINDOW)).groupBy("d1", "d2", "n").agg(F.min(F.struct("id", "t")).alias("rep"))
     held = slim.where(F.col("id").isNotNull()).select("id", "t", "d1", F.explode("keys").alias("key"))
@@ -128,10 +128,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", with_text: bool = False
     reps = class_of.select(F.col("rep.id").alias("id"), F.col("rep.t").alias("t"))
     flagged = held.join(shared, "key").groupBy("id", "t").agg(F.collect_set("key").alias("shared")).join(reps, ["id", "t"], "left_semi")
     windows = rows.join(flagged, ["id", "t"]).select("id", "t", "text", "shared")
-    windows = windows.mapInArrow(_windows, "h1 bigint, h2 int, id bigint, t bigint, at int")
-    windows = durable(windows)
-    least = windows.groupBy("h1", "h2").agg(F.min(F.struct("id", "at")).alias("ref"), F.max("id").alias("_hi")).where(F.col("_hi") > F.col("ref.id")).select("h1", "h2", "ref")
-    later = windows.join(least, ["h1", "h2"]).where(F.col("id") > F.col("ref.id"))
+    windows = windows.mapInArrow(_windows, "h1 bigint, h2 int, id bigint, t int, at int")
+    # one shuffle of the windows; a group is read in order with only its first row held, and spills where it is long
+    earliest = Window.partitionBy("h1", "h2").orderBy("id", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    later = windows.withColumn("ref", F.first(F.struct("id", "at")).over(earliest)).where(F.col("id") > F.col("ref.id"))
     found = later.groupBy("id", "t").agg(F.collect_set(F.struct("at", F.col("ref.id").alias("ref"), F.col("ref.at").alias("ref_at"))).alias("found"))
     found = durable(found)
     cut = rows.join(found, ["id", "t"]).select("id", "text", "found").mapInArrow(_cut(with_text), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, n_factors bigint, kept_text string")
