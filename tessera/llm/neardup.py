@@ -7,7 +7,9 @@
    each position in turn, so such a pair has an equal key. No pair under that distance is missed. At the linking
    threshold itself (Jaccard 0.85) a pair lies over the distance with probability under 2e-8, and less above it.
 3. Pairs of a bucket aren't all listed. Each member first meets the bucket's smallest id; confirmed links give components. Then only
-   pairs that share a bucket, lie within the distance and are still in different components are listed and confirmed.
+   pairs that share a bucket, lie within the distance and are still in different components come into question; two exact bounds, the
+   difference of their distances from the bucket's hub and the bits in which their odd sketches differ, rule out all but the few near
+   the threshold before any is listed, and these are confirmed.
    A link left out joins two documents already joined, so components are those of all links.
 4. Confirming compares whole sets: 100 * intersection >= 85 * union.
 
@@ -33,6 +35,7 @@ SHINGLE, POSITIONS, LANES = 5, 48, 4
 CHUNKS = POSITIONS // LANES
 DISTANCE = 2 * CHUNKS - 1
 LINK, OF = 85, 100
+ODD_BITS = 2048
 _rng = np.random.default_rng(6)
 _MULT = (_rng.integers(1, 1 << 63, POSITIONS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _PLUS = _rng.integers(1, 1 << 63, POSITIONS, dtype=np.uint64)
@@ -60,6 +63,15 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (bits << (np.arange(LANES, dtype=np.uint64) * np.uint64(16))).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
+def odd_sketch(s: np.ndarray) -> np.ndarray:
+    """A bit for each of ODD_BITS cells: whether an odd number of the set's hashes fall there.
+
+    Two sketches differ in at most as many bits as the sets have elements not in common, as each of these flips one bit.
+    """
+    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % ODD_BITS, minlength=ODD_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _signed(batches):
     for b in chunks(batches):
         sets = shingle_sets(b.column("text"))
@@ -75,7 +87,9 @@ def _set_rows(batches):
         sets = shingle_sets(b.column("text"))
         at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
         values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(pa.array(at), pa.array(values))], ["id", "shingles"])
+        odd = np.concatenate([odd_sketch(s) for s in sets]) if sets else np.zeros(0, np.int64)
+        odds = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (ODD_BITS // 64)), pa.array(odd))
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(pa.array(at), pa.array(values)), odds], ["id", "shingles", "odd"])
 
 
 def signatures(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -143,7 +157,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", link: int = LINK) -> D
     keys = _keys(reps)
     buckets = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("members")).where("members > 1")
     shared = durable(keys.join(buckets, "key").select("key", "place", "id", "n", "hub"))
-    sets = durable(docs.select(F.col(key).cast("bigint").alias("id"), "text").join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_set_rows, "id bigint, shingles array<bigint>"))
+    sets = durable(docs.select(F.col(key).cast("bigint").alias("id"), "text").join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_set_rows, "id bigint, shingles array<bigint>, odd array<bigint>"))
     # every member against its bucket's hub; the distance to the hub is kept, linked or not
     stars = durable(compared(shared.where(F.col("id") != F.col("hub")).select(F.col("id").alias("u"), F.col("hub").alias("v")).distinct(), sets))
     edges = stars.where(F.col("both") * OF >= F.col("either") * link).select("u", "v")
@@ -152,13 +166,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", link: int = LINK) -> D
     mixed_keys = at.groupBy("key").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo < _hi").select("key")
     far = stars.select(F.col("u").alias("id"), F.col("v").alias("hub"), (1 - F.col("both") / F.col("either")).alias("far"))
     # what meets in a bucket across components, with its distance from the hub and its signature
-    open_rows = durable(at.join(mixed_keys, "key").where(F.col("id") != F.col("hub")).join(far, ["id", "hub"]).join(reps.select("id", "sig"), "id"))
+    open_rows = durable(at.join(mixed_keys, "key").where(F.col("id") != F.col("hub")).join(far, ["id", "hub"]).join(reps.select("id", "sig"), "id").join(sets.select("id", "odd"), "id"))
     a, b = open_rows.alias("a"), open_rows.alias("b")
     # Jaccard distance is a metric: two sets can't be closer than the difference of their distances from a third
     near_enough = F.abs(F.col("a.far") - F.col("b.far")) <= (OF - link) / OF + 1e-9
     apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.id") > F.col("b.id")) & (F.col("a.c") != F.col("b.c")) & near_enough & _close(F.col("a.n"), F.col("b.n"), link)
     sigs = F.col("a.sig"), F.col("b.sig")
-    rest = a.join(b, apart & (distance(*sigs) <= DISTANCE) & (first_place(*sigs) == F.col("a.place"))).select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
+    differ = F.aggregate(F.zip_with("a.odd", "b.odd", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    # a link leaves at most this many elements not in common, and no fewer than the sketches' bits differ
+    alike = differ * (OF + link) <= (F.col("a.n") + F.col("b.n")) * (OF - link)
+    rest = a.join(b, apart & (distance(*sigs) <= DISTANCE) & alike & (first_place(*sigs) == F.col("a.place"))).select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
     more = durable(compared(rest, sets).where(F.col("both") * OF >= F.col("either") * link).select("u", "v"))
     if not more.isEmpty():
         label = components(edges.union(more))
