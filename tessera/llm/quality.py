@@ -75,7 +75,8 @@ def with_repeat_words(df: DataFrame, w: str = "_w", name: str = "n_repeat_words"
         "_p": F.transform(near("_e", lambda x: F.shiftright(x, POSITION_BITS)), lambda x: x.bitwiseAND(F.lit(low)).cast("int")),
         "_g": F.array_sort(F.transform("_p", lambda p: F.struct(F.concat_ws(" ", word(p), word(p + 1), word(p + 2)).alias("g"), p.alias("p")))),
         "_s": F.transform(near("_g", lambda x: x["g"]), lambda x: x["p"]),
-        name: F.size(F.array_distinct(F.flatten(F.transform("_s", lambda p: F.array(p, p + 1, p + 2))))).cast("bigint"),
+        # times 0, an id keeps filters on the count above these columns; pushed below them they would copy each step into the next
+        name: F.size(F.array_distinct(F.flatten(F.transform("_s", lambda p: F.array(p, p + 1, p + 2))))).cast("bigint") + F.monotonically_increasing_id() * 0,
     }
     for step, value in steps.items():
         df = df.withColumn(step, value)
