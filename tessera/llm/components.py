@@ -18,14 +18,16 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Links a node's larger neighbours (large star), or its smaller ones and itself (small star), to the smallest of its neighbours and itself."""
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
+    """Links a node's larger neighbours (large star), or its smaller ones and itself (small star), to the smallest of its neighbours and itself.
+
+    Both directions, and a node's own link, come from one pass over the rows rather than a union of two; repeats are left to the round's one distinct.
+    """
+    both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))) if large else edges
     least = both.groupBy("u").agg(F.min("v").alias("_m")).withColumn("m", F.least("u", "_m")).drop("_m")
     joined = both.join(least, "u")
     if large:
-        out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        return joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    out = joined.select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))))
     return out.where(F.col("u") > F.col("v")).distinct()
 
 
@@ -39,3 +41,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v")).distinct())
     raise RuntimeError("components did not settle")
+
+
+def joined_components(label: DataFrame, more: DataFrame) -> DataFrame:
+    """The components of label, (node, component), once the links of more, (u, v), are added: only the components that a link joins are worked on."""
+    of = lambda name: label.select(F.col("node").alias(name), F.col("component").alias(f"_{name}"))
+    across = more.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("_u", "u").alias("u"), F.coalesce("_v", "v").alias("v"))
+    merged = components(across)
+    # a node that only more has is a component of its own in label
+    nodes = label.unionByName(merged.join(label, "node", "left_anti").select("node", F.col("node").alias("component")))
+    return nodes.join(merged.select(F.col("node").alias("component"), F.col("component").alias("_c")), "component", "left").select("node", F.coalesce("_c", "component").alias("component"))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .arrowwords import BASES, Sums, Words, chunks, mixed
 from .common import durable, let, packed
-from .components import components
+from .components import components, joined_components
 
 SHINGLE, POSITIONS, LANES = 5, 48, 4
 CHUNKS = POSITIONS // LANES
@@ -178,7 +178,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", link: int = LINK) -> D
     rest = a.join(b, apart & (distance(*sigs) <= DISTANCE) & alike & (first_place(*sigs) == F.col("a.place"))).select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
     more = durable(compared(rest, sets).where(F.col("both") * OF >= F.col("either") * link).select("u", "v"))
     if not more.isEmpty():
-        label = components(edges.union(more))
+        label = joined_components(label, more)
     classes = reps.select("d1", "d2", "n", F.col("id").alias("rep")).join(label, F.col("rep") == F.col("node"), "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
     linked = some.join(classes, ["d1", "d2", "n"]).select("id", "n", "component")
     return linked.unionByName(slim.where((F.col("n") == 0) | F.col("id").isNull()).select("id", "n", F.col("id").alias("component")))

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tessera.llm import neardup, substrings
+from tessera.llm import components, neardup, substrings
 
 from . import brute
 
@@ -92,3 +92,32 @@ def test_factors_are_greedy():
 
     starts, ends = substrings.factors(np.array([0, 1, 2, 9]), np.array([7, 7, 3, 7]), np.array([4, 5, 0, 1]))
     assert starts.tolist() == [0, 2, 9] and ends.tolist() == [51, 52, 59]
+
+
+def smallest_reachable(links):
+    nodes = {n: n for link in links for n in link}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(nodes[a], nodes[b])
+            changed |= nodes[a] != low or nodes[b] != low
+            nodes[a] = nodes[b] = low
+    return nodes
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    chain = [(i, i + 1) for i in range(100, 140)]
+    star = [(500, i) for i in range(501, 560)]
+    links = chain + star + [(rng.randrange(1000, 1150), rng.randrange(1000, 1150)) for _ in range(110)] + [(7, 7), (120, 121)]
+    links = [(a, b) if rng.random() < 0.5 else (b, a) for a, b in links]
+    apart = [(a, b) for a, b in links if a != b]
+    label = components.components(spark.createDataFrame(links, "u bigint, v bigint"))
+    assert {r.node: r.component for r in label.collect()} == smallest_reachable(apart)
+    # links within a component, between components, between nodes that no link had and from these to components
+    more = [(130, 101), (110, 520), (90, 560), (2000, 2001), (2001, 2002), (1999, 1100), (555, 90)]
+    got = components.joined_components(label, spark.createDataFrame(more, "u bigint, v bigint")).collect()
+    assert len(got) == len({r.node for r in got}) and {r.node: r.component for r in got} == smallest_reachable(apart + more)
+    none = components.joined_components(label, spark.createDataFrame([], "u bigint, v bigint"))
+    assert {r.node: r.component for r in none.collect()} == smallest_reachable(apart)
