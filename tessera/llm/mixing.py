@@ -48,21 +48,27 @@ def _share(rest: Column, size: Column) -> Column:
     return F.when(size > 0, rest / F.when(size > 0, size)).otherwise(F.lit(0.0))
 
 
-def mix(sized: DataFrame, key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, preference: Column | None = None) -> DataFrame:
+def mix(sized: DataFrame, key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, preference: Column | None = None, figures: DataFrame | None = None) -> DataFrame:
     """sized: key, source, size (long) and any other columns. Adds source_size, target, copies (times the mix takes the row).
 
-    Reruns agree, as the odds come from the key alone. sized is read several times; pass a durable frame.
+    Reruns agree, as the odds come from the key alone. Sizes are summed several times, over figures: the key, source and size of the same
+    rows (and what preference reads), a durable frame. Without it sized should be one.
     """
-    goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
+    figures = sized if figures is None else figures
+    goal = targets(figures.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
     goal = durable(goal)
-    rows = sized.withColumn("_u", unit(F.col(key), SEED)).alias("a").join(goal.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).drop(F.col("b.source"))
     share = _share(F.col("rest"), F.col("source_size"))
     odds = share / (F.lit(1.0) - share) * (F.lit(1.0) if preference is None else preference)
     rank = (F.col("_u") / (1 - F.col("_u"))) / F.when(odds > 0, odds)
-    # rank / (1 + rank) keeps the order and lies in [0, 1), so that equal slices of it are even enough
-    rows = rows.withColumn("_rank", F.coalesce(rank / (1 + rank), F.lit(1.0))).withColumn("_slice", F.least(F.floor(F.col("_rank") * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        out = rows.withColumn("_u", unit(F.col(key), SEED)).alias("a").join(goal.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).drop(F.col("b.source"))
+        # rank / (1 + rank) keeps the order and lies in [0, 1), so that equal slices of it are even enough
+        return out.withColumn("_rank", F.coalesce(rank / (1 + rank), F.lit(1.0))).withColumn("_slice", F.least(F.floor(F.col("_rank") * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
+
+    rows = ranked(sized)
     running = Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = rows.groupBy("source", "_slice").agg(F.sum("size").alias("_in"), F.first("rest").alias("_rest")).withColumn("_before", F.coalesce(F.sum("_in").over(running), F.lit(0)))
+    slices = ranked(figures).groupBy("source", "_slice").agg(F.sum("size").alias("_in"), F.first("rest").alias("_rest")).withColumn("_before", F.coalesce(F.sum("_in").over(running), F.lit(0)))
     ends = slices.where((F.col("_before") <= F.col("_rest")) & (F.col("_before") + F.col("_in") > F.col("_rest"))).select(F.col("source").alias("_source"), F.col("_slice").alias("_end"), "_before")
     rows = rows.join(ends, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     at_end = F.coalesce(F.col("_slice") == F.col("_end"), F.lit(False))
@@ -81,9 +87,12 @@ def op2(docs: DataFrame) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it. Texts stay where they are: only the slice in which a target ends is shuffled."""
-    sized = docs.select(packed(docs), "doc_id", "source", F.size(words(F.col("text"))).cast("bigint").alias("size"))
-    taken = mix(sized).where(F.col("copies") > 0)
+    """The rows of docs, each as often as the mix takes it. Texts stay where they are: only the slice in which a target ends is shuffled.
+
+    Words are counted once, for the sums; the pass over the texts counts those of that slice alone.
+    """
+    size = F.size(words(F.col("text"))).cast("bigint").alias("size")
+    taken = mix(docs.select(packed(docs), "doc_id", "source", size), figures=durable(docs.select("doc_id", "source", size))).where(F.col("copies") > 0)
     return taken.select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_doc.*")
 
 
