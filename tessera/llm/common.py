@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than the six ASCII white-space ones.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Tasks that the rows of one key are dealt over.
+SPREAD = 16
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -36,16 +39,18 @@ def packed(df: DataFrame, name: str = "_doc") -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the session names; a folder of our own only where none is named."""
+    """The shared folder the session names. Only a session on this machine alone may go without: it gets a folder of our own."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     return named or sc.getCheckpointDir()
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared checkpoint folder, with no lineage behind them.
+    """The same rows, of any types, written to the shared checkpoint folder, with no lineage behind them.
 
     Lost executors then cost a reread of shared files, never a recomputation of the stages before.
     """
@@ -53,6 +58,36 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As durable, but as a Parquet table: for slim tables of our own columns. Its size is known to the optimiser, and release() deletes it."""
+    path = f"{checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def release(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders of tables that nothing reads any more."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def with_totals(rows: DataFrame, keys: list[str], by: list[str], spread: int = SPREAD, **totals: tuple[str, str]) -> DataFrame:
+    """rows with totals over equal keys (none null): name=(kind, expression), kind one of min, max, sum.
+
+    Rows of one key are dealt over ``spread`` tasks by a hash of the columns ``by``; a key's own task sees at most one row for each of these,
+    so a key that holds a third of all rows makes no task large.
+    """
+    kinds = {"min": F.min, "max": F.max, "sum": F.sum}
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(spread)).cast("int"))
+    parts = salted.groupBy(*keys, "_salt").agg(*(kinds[kind](F.expr(of)).alias(name) for name, (kind, of) in totals.items()))
+    whole = Window.partitionBy(*keys)
+    parts = parts.select(*keys, "_salt", *(kinds[kind](name).over(whole).alias(name) for name, (kind, _) in totals.items()))
+    return salted.join(parts, [*keys, "_salt"]).drop("_salt")
+
+
 def unit(key: Column, seed: str) -> Column:
     """A number in (0, 1) from the key's md5, the same on every run and in every engine."""
     digest = F.md5(F.concat(F.lit(seed), F.coalesce(key.cast("string"), F.lit("\x00"))))

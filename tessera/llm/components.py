@@ -1,45 +1,87 @@
-"""Connected components of a table of edges, by alternating large and small stars.
+"""Connected components of a table of edges: local spanning forests, then alternating large and small stars.
 
-Each star is a few joins and grouped minima over the edges; labels never leave the executors. Two rounds in a row that
-leave the edges as they are end it; edges shrink to one per node, so a component of any size costs no wide row.
+A round first lets every task replace its edges, ``AT_ONCE`` at a time, by a spanning forest of stars: that keeps who
+reaches whom, never adds an edge, and joins what lies within a task at once. Large and small stars then carry labels between tasks, which bounds the
+rounds by the logarithm of the longest path even where each task sees a single edge of a component. A node's edges are dealt
+over several tasks in every star, so a hub of a third of all edges makes no task large. Labels never leave the executors.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import release, stored, with_totals
 
+AT_ONCE = 1 << 20
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-    return tuple(row)
 
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node it reaches) for the nodes of edges u, v; nodes that are the smallest themselves are left out."""
+    names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(names))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        # each end's root hooks to the smaller root, then paths are halved until they are flat
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        while not np.array_equal(flat := new[new], new):
+            new = flat
+        if np.array_equal(new, label):
+            far = np.flatnonzero(label != np.arange(len(names)))
+            return names[far], names[label[far]]
+        label = new
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Links a node's larger neighbours (large star), or its smaller ones and itself (small star), to the smallest of its neighbours and itself.
 
-    Both directions, and a node's own link, come from one pass over the rows rather than a union of two; repeats are left to the round's one distinct.
-    """
-    both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))) if large else edges
-    least = both.groupBy("u").agg(F.min("v").alias("_m")).withColumn("m", F.least("u", "_m")).drop("_m")
-    joined = both.join(least, "u")
+def _forests(batches):
+    held, size = [], 0
+
+    def out():
+        u, v = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]) for k in ("u", "v"))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in forest(u, v)], ["u", "v"])
+
+    for b in batches:
+        held.append(b)
+        size += b.num_rows
+        if size >= AT_ONCE:
+            yield out()
+            held, size = [], 0
+    if held:
+        yield out()
+
+
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """Links a node's larger neighbours (large star), or its smaller ones and itself (small star), to the smallest of its neighbours and itself."""
+    turned = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = edges.select(F.inline(turned)) if large else edges
+    met = with_totals(both, ["u"], ["v"], _m=("min", "v")).withColumn("_m", F.least("u", "_m"))
     if large:
-        return joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    out = joined.select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))))
-    return out.where(F.col("u") > F.col("v")).distinct()
+        return met.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("_m").alias("v"))
+    linked = F.array(F.struct(F.col("v").alias("u"), F.col("_m").alias("v")), F.struct(F.col("u"), F.col("_m").alias("v")))
+    return met.select(F.inline(linked)).where(F.col("u") > F.col("v")).distinct()
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour, which has none."""
+    rows, nodes = edges.agg(F.count("*"), F.count_distinct("u")).first()
+    return rows == nodes and edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """edges: (u, v), in any order. Gives (node, component): the smallest node that each node on an edge can reach."""
-    now = durable(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(F.col("u") != F.col("v")).distinct())
-    state = _state(now)
+    """edges: (u, v) bigints, in any order. Gives (node, component): the smallest node that each node on an edge can reach."""
+    spark, old = edges.sparkSession, []
+    ordered = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    now = stored(ordered.mapInArrow(_forests, "u bigint, v bigint").distinct())
     for _ in range(most_rounds):
-        now = durable(_star(_star(now, True), False))
-        before, state = state, _state(now)
-        if state == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v")).distinct())
+        if _settled(now):
+            release(spark, *old)
+            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
+        old.append(now.stored_path)
+        now = stored(_star(_star(now.mapInArrow(_forests, "u bigint, v bigint"), True), False))
     raise RuntimeError("components did not settle")
 
 

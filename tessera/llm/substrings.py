@@ -1,20 +1,24 @@
-"""Repeated passages: relative Lempel-Ziv parsing of every document against reference blocks of smaller ids.
+"""Repeated passages: relative Lempel-Ziv parsing of every document against indexed blocks of smaller ids.
 
-A passage counts from ``WINDOW`` words on. Reference blocks are found by content, not by position: the block key of a
-window is the least hash among its ``GRAM``-word grams, so equal windows have equal keys, wherever they stand.
+A passage counts from ``WINDOW`` words on. Reference blocks are cut by content: a window's anchor is the leftmost least hash among its
+``GRAM``-word grams, and a block is a run of windows with one anchor (about one in twenty words begins a block). Equal passages are cut
+alike, wherever they stand, but for their ends.
 
-1. One pass gives each document its digest (equal documents form a class, judged once), and its block keys, about one in
-   twenty words. Keys held by documents of one class only can't be shared and end here.
-2. Documents with shared keys give the hashes of just the windows under these keys; the smallest (id, position) of
-   each window is its reference.
-3. Each document is parsed greedily: a factor begins at a window with a smaller reference and goes on while the next
-   window's reference is the next position there. At a factor's end the next window is looked up anew, so windows across the boundary of
-   two factors are judged like any other. Every factor is at least ``WINDOW`` words; its words are removed.
+1. One pass gives each document its digest (documents of equal words form a class, judged once) and its blocks, with the hash of
+   the anchor and of all the block's words. Anchors held by documents of one id only can't be shared and end here.
+2. The index: each block's words with their smallest (id, position). A block that a smaller id has too is matched whole.
+3. At factor boundaries passages agree in a part of a block only. Blocks that no smaller id has whole, under an anchor that
+   others have too, are looked up window by window: the smallest (id, position) of each window is its reference. One block of
+   each kind is enough for that, so a passage shared by a third of all documents is listed once, not once for each.
+4. Each document is parsed greedily: a factor begins at a window with a smaller reference and goes on while the reference goes on
+   there. Where a block or window has its reference elsewhere, a new factor begins, though it may overlap the one before. Every factor
+   is at least ``WINDOW`` words; the words of all factors are removed.
 
-Windows are compared by 96 bits of hash over word hashes of 64 bits.
+References are the smallest (id, position), not the ones that go on longest, so a parse may have more factors than one of longest matches;
+the words they cover are the same. Passages are compared by 96 bits of hash over word hashes of 64 bits, documents by SHA-256.
 
 Defined results: null text has no words; texts under ``WINDOW`` words lose nothing; a null id is neither reference nor
-removed; rows with the same id don't refer to each other; an empty table gives an empty result.
+removed; rows with the same id don't refer to each other, whatever their texts; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,66 +27,88 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowwords import BASES, Sums, Words, chunks, mixed
-from .common import durable
+from .arrowwords import Runs, Words, chunks, joined_hash
+from .common import stored, with_totals
 
 WINDOW, GRAM = 50, 12
+SEEDS = (0, 0x5851F42D4C957F2D)
 NOTHING = hashlib.sha256(b"").hexdigest()
+_BLOCK = pa.struct([("key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int32()), ("at", pa.int32()), ("len", pa.int32())])
 
 
-def _least(x: np.ndarray, width: int) -> np.ndarray:
-    """The least of every width values in a row, by doubling."""
-    done = 1
-    out = x
+def _least_places(x: np.ndarray, width: int) -> np.ndarray:
+    """The place of the leftmost least of every width values in a row, by doubling."""
+    done, value, place = 1, x, np.arange(len(x), dtype=np.int64)
     while done < width:
         step = min(done, width - done)
-        out = np.minimum(out[: len(out) - step], out[step:])
+        right = value[step:] < value[:-step]
+        value = np.where(right, value[step:], value[:-step])
+        place = np.where(right, place[step:], place[:-step])
         done += step
-    return out
+    return place
 
 
-def _block_keys(words: np.ndarray) -> np.ndarray:
-    """For each window of a document (its word hashes) its block key."""
-    grams = len(words) - GRAM + 1
-    sums = Sums(words, BASES[1])
-    at = np.arange(grams)
-    return _least(mixed(sums.of(at, at + GRAM)), WINDOW - GRAM + 1)
+class Passages:
+    """The windows of the texts of an Arrow array: starts (in all texts' words), their texts, and two hashes for any of them."""
+
+    def __init__(self, texts: pa.Array):
+        self.words = Words(texts)
+        self.hashes, first = self.words.hashes(), self.words.first
+        per = np.maximum(np.diff(first) - WINDOW + 1, 0)
+        self.text = np.repeat(np.arange(len(per)), per)
+        self.starts = np.arange(len(self.text)) + np.repeat(first[:-1] - (np.cumsum(per) - per), per)
+        self._runs = [Runs(self.hashes, s) for s in SEEDS]
+
+    def of(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(r.of(WINDOW)[starts] for r in self._runs) if len(starts) else (np.zeros(0, np.uint64),) * 2
+
+    def blocks(self) -> tuple[np.ndarray, pa.Array]:
+        """(text, block) in order."""
+        if not len(self.starts):
+            return np.zeros(0, np.int64), pa.array([], _BLOCK)
+        grams = self._runs[0].of(GRAM)
+        anchor = _least_places(grams, WINDOW - GRAM + 1)[self.starts]
+        begin = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+        size = np.diff(np.append(begin, len(anchor)))
+        # the first and the last window overlap, so that both together are all words of the block
+        h1, h2 = (joined_hash(joined_hash(a, b), size.astype(np.uint64)) for a, b in zip(self.of(self.starts[begin]), self.of(self.starts[begin + size - 1])))
+        text = self.text[begin]
+        columns = (grams[anchor[begin]].view(np.int64), h1.view(np.int64), halved(h2), (self.starts[begin] - self.words.first[text]).astype(np.int32), size.astype(np.int32))
+        return text, pa.StructArray.from_arrays([pa.array(c) for c in columns], fields=list(_BLOCK))
+
+
+def halved(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _first_pass(batches):
-    kinds = pa.schema([("id", pa.int64()), ("t", pa.int32()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sha", pa.string()), ("keys", pa.list_(pa.int64()))])
     for b in chunks(batches):
-        w = Words(b.column("text"))
-        h = w.hashes()
-        a, e = w.first[:-1], w.first[1:]
-        digests = [pa.array((mixed(Sums(h, base).of(a, e)) + (e - a).astype(np.uint64)).view(np.int64)) for base in BASES[1:]]
-        keys = [np.unique(_block_keys(h[i:j])).view(np.int64) if j - i >= WINDOW else None for i, j in zip(a, e)]
-        sha = [hashlib.sha256(w.joined(i)).hexdigest() for i in range(len(a))]
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("t"), pa.array((e - a).astype(np.int64)), *digests, pa.array(sha), pa.array(keys, pa.list_(pa.int64()))], schema=kinds)
+        p = Passages(b.column("text"))
+        w, (text, blocks) = p.words, p.blocks()
+        ends = np.searchsorted(text, np.arange(b.num_rows + 1)).astype(np.int32)
+        sha = [hashlib.sha256(w.joined(i)).hexdigest() for i in range(b.num_rows)]
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("t"), pa.array(np.diff(w.first).astype(np.int64)), pa.array(sha, pa.string()), pa.ListArray.from_arrays(pa.array(ends), blocks)], ["id", "t", "n", "sha", "blocks"])
 
 
 def _windows(batches):
-    """(h1, h2, id, t, at) of the windows whose block key is shared."""
+    """(h1, h2, id, t, at) of the windows of the blocks in open."""
     for b in chunks(batches):
-        w = Words(b.column("text"))
-        h = w.hashes()
-        one, two = Sums(h, BASES[1]), Sums(h, BASES[2])
-        shared = b.column("shared")
-        rows, spots = [], []
-        for i, (s, e) in enumerate(zip(w.first[:-1], w.first[1:])):
-            if e - s >= WINDOW:
-                keys = shared[i].values.to_numpy(zero_copy_only=False)
-                at = np.flatnonzero(np.isin(_block_keys(h[s:e]).view(np.int64), keys))
-                rows.append(np.full(len(at), i))
-                spots.append(at + s)
-        row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        at = np.concatenate(spots) if spots else np.zeros(0, np.int64)
-        h1 = mixed(one.of(at, at + WINDOW)).view(np.int64)
-        h2 = (mixed(two.of(at, at + WINDOW)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), b.column("id").take(pa.array(row)), b.column("t").take(pa.array(row)), pa.array((at - w.first[row]).astype(np.int32))], ["h1", "h2", "id", "t", "at"])
+        p, spots, rows = Passages(b.column("text")), [], []
+        for i, own in enumerate(b.column("open")):
+            at, size = (own.values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("at", "len"))
+            spots.append(_spread(at, size))
+            rows.append(np.full(len(spots[-1]), i))
+        at, row = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (spots, rows))
+        h1, h2 = p.of(at + p.words.first[row])
+        yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(halved(h2)), b.column("id").take(pa.array(row)), b.column("t").take(pa.array(row)), pa.array(at.astype(np.int32))], ["h1", "h2", "id", "t", "at"])
+
+
+def _spread(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """at, at + 1, ... size numbers for each."""
+    return np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
 def factors(at: np.ndarray, ref: np.ndarray, ref_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,13 +123,13 @@ def _cut(with_text: bool):
     def cut(batches):
         for b in chunks(batches):
             w = Words(b.column("text"))
-            found = b.column("found")
             out = []
             for i, (s, e) in enumerate(zip(w.first[:-1], w.first[1:])):
-                x = found[i].values
-                at, ref, ref_at = (x.field(k).to_numpy(zero_copy_only=False) for k in ("at", "ref", "ref_at"))
-                order = np.argsort(at, kind="stable")
-                starts, ends = factors(at[order], ref[order], ref_at[order])
+                x = b.column("found")[i].values
+                at, size, ref, ref_at = (x.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("at", "len", "ref", "ref_at"))
+                # repeated rows of an id list their windows again
+                spots, once = np.unique(_spread(at, size), return_index=True)
+                starts, ends = factors(spots, np.repeat(ref, size)[once], _spread(ref_at, size)[once])
                 edge = np.zeros(e - s + 1, np.int64)
                 np.add.at(edge, starts, 1)
                 np.add.at(edge, ends, -1)
@@ -117,26 +143,31 @@ def _cut(with_text: bool):
     return cut
 
 
+def _open_windows(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(id, t, at, ref) of the windows of blocks, which no smaller id has whole, with their references."""
+    shared = with_totals(blocks, ["key"], ["id", "at"], _h=("min", "h1"), _g=("max", "h1"), _lo=("min", "id"), _hi=("max", "id"))
+    open_ = shared.where("_h < _g AND _lo < _hi").groupBy("id", "t").agg(F.collect_set(F.struct("at", "len")).alias("open"))
+    windows = rows.join(open_, ["id", "t"]).select("id", "t", "text", "open").mapInArrow(_windows, "h1 bigint, h2 int, id bigint, t bigint, at int")
+    return with_totals(windows, ["h1", "h2"], ["id", "at"], ref=("min", "struct(id, at)")).where("ref.id < id").select("id", "t", "at", F.lit(1).alias("len"), "ref")
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", with_text: bool = False) -> DataFrame:
     """For each row of docs: doc_id, n_words, n_removed, kept_sha256, n_factors, kept_text (null unless asked for)."""
-    rows = docs.select(F.col(key).cast("bigint").alias("id"), F.hash("text").alias("t"), "text")
-    slim = durable(rows.mapInArrow(_first_pass, "id bigint, t int, n bigint, d1 bigint, d2 bigint, sha string, keys array<bigint>"))
+    rows = docs.select(F.col(key).cast("bigint").alias("id"), F.xxhash64("text").alias("t"), "text")
+    slim = stored(rows.mapInArrow(_first_pass, "id bigint, t bigint, n bigint, sha string, blocks array<struct<key:bigint,h1:bigint,h2:int,at:int,len:int>>"))
     # the least id of a class stands for it; of null ids nothing is said
-    class_of = slim.where(F.col("id").isNotNull() & (F.col("n") >= WINDOW)).groupBy("d1", "d2", "n").agg(F.min(F.struct("id", "t")).alias("rep"))
-    held = slim.where(F.col("id").isNotNull()).select("id", "t", "d1", F.explode("keys").alias("key"))
-    shared = held.groupBy("key").agg(F.min("d1").alias("_lo"), F.max("d1").alias("_hi")).where("_lo != _hi").select("key")
-    reps = class_of.select(F.col("rep.id").alias("id"), F.col("rep.t").alias("t"))
-    flagged = held.join(shared, "key").groupBy("id", "t").agg(F.collect_set("key").alias("shared")).join(reps, ["id", "t"], "left_semi")
-    windows = rows.join(flagged, ["id", "t"]).select("id", "t", "text", "shared")
-    windows = windows.mapInArrow(_windows, "h1 bigint, h2 int, id bigint, t int, at int")
-    # one shuffle of the windows; a group is read in order with only its first row held, and spills where it is long
-    earliest = Window.partitionBy("h1", "h2").orderBy("id", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    later = windows.withColumn("ref", F.first(F.struct("id", "at")).over(earliest)).where(F.col("id") > F.col("ref.id"))
-    found = later.groupBy("id", "t").agg(F.collect_set(F.struct("at", F.col("ref.id").alias("ref"), F.col("ref.at").alias("ref_at"))).alias("found"))
-    found = durable(found)
+    long = slim.where(F.col("id").isNotNull() & (F.col("n") >= WINDOW))
+    copies = with_totals(long.select("id", "t", "sha", "n"), ["sha"], ["id", "t"], least=("min", "id")).where("least < id").select("id", "t").distinct()
+    blocks = long.join(copies, ["id", "t"], "left_anti").select("id", "t", F.inline("blocks"))
+    met = with_totals(blocks, ["key"], ["id", "at"], _lo=("min", "id"), _hi=("max", "id")).where("_lo < _hi").drop("_lo", "_hi")
+    met = stored(with_totals(met, ["h1", "h2"], ["id", "at"], ref=("min", "struct(id, at)")))
+    later = met.where("ref.id < id").select("id", "t", "at", "len", "ref").unionByName(_open_windows(rows, met.where("ref.id = id").drop("ref")))
+    entry = F.struct("at", "len", F.col("ref.id").alias("ref"), F.col("ref.at").alias("ref_at"))
+    found = stored(later.groupBy("id", "t").agg(F.collect_list(entry).alias("found")))
     cut = rows.join(found, ["id", "t"]).select("id", "text", "found").mapInArrow(_cut(with_text), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, n_factors bigint, kept_text string")
-    whole = slim.join(class_of, ["d1", "d2", "n"], "left").withColumn("_all", F.coalesce(F.col("rep.id") < F.col("id"), F.lit(False))).join(found.select("id", "t"), ["id", "t"], "left_anti")
-    rest = whole.select(F.col("id").alias("doc_id"), F.col("n").alias("n_words"), F.when(F.col("_all"), F.col("n")).otherwise(F.lit(0).cast("bigint")).alias("n_removed"), F.when(F.col("_all"), NOTHING).otherwise(F.col("sha")).alias("kept_sha256"), F.col("_all").cast("bigint").alias("n_factors"), F.lit(None).cast("string").alias("kept_text"))
+    told = found.select("id", "t", F.lit("cut").alias("as")).unionByName(copies.select("id", "t", F.lit("copy").alias("as")))
+    rest = slim.select("id", "t", "n", "sha").join(told, ["id", "t"], "left").where("as IS NULL OR as = 'copy'").withColumn("_all", F.col("as").isNotNull())
+    rest = rest.select(F.col("id").alias("doc_id"), F.col("n").alias("n_words"), F.when(F.col("_all"), F.col("n")).otherwise(F.lit(0).cast("bigint")).alias("n_removed"), F.when(F.col("_all"), NOTHING).otherwise(F.col("sha")).alias("kept_sha256"), F.col("_all").cast("bigint").alias("n_factors"), F.lit(None).cast("string").alias("kept_text"))
     return cut.unionByName(rest)
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowwords import BASES, Sums, Words, chunks, mixed
+from .arrowwords import Words, chunks, mixed
 from .common import durable
 from .licenses import BETWEEN
 
@@ -41,13 +41,12 @@ class Model(NamedTuple):
 def feature_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(text index, feature) of every word and stem."""
     w = Words(texts, lower=True, space=BETWEEN)
-    sums = Sums(w.data.astype(np.uint64) + np.uint64(1), BASES[0])
     row = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
-    rows, found = [row], [mixed(sums.of(w.starts, w.ends))]
+    rows, found = [row], [w.hashes()]
     for k in STEMS:
         long = np.flatnonzero(w.ends - w.starts >= k)
         rows.append(row[long])
-        found.append(mixed(sums.of(w.starts[long], w.starts[long] + k) + np.uint64(k)))
+        found.append(mixed(w.span_hashes(w.starts[long], w.starts[long] + k) + np.uint64(k)))
     return np.concatenate(rows), np.concatenate(found)
 
 
