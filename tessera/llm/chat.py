@@ -1,7 +1,7 @@
 """Chat formatting with relational expressions only, with a loss mask and an exact way back.
 
 A conversation's rows become turn structs, collected and sorted; adjacent turns of one role merge into one block
-(array aggregation) and blocks are concatenated::
+(array aggregation: slices between the places where the role changes) and blocks are concatenated::
 
     <|start|>role<|text|>first text<|turn|>second text of the same role<|end|>
 
@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import once
+
 START, TEXT, TURN, END = "<|start|>", "<|text|>", "<|turn|>", "<|end|>"
 _TAILS = r"(\|(?:start|text|turn|end)\|>|/?s>|/?INST\])"
 ESCAPE, UNESCAPE = r"([<\[])(\\*)" + _TAILS, r"([<\[])\\(\\*)" + _TAILS
@@ -35,17 +37,15 @@ def unescape(c: Column) -> Column:
     return F.regexp_replace(c, UNESCAPE, "$1$2$3")
 
 
-def _merge(turns: Column) -> Column:
-    """Blocks (role, texts) of adjacent turns of one role."""
+def _changes(turns: str) -> Column:
+    """The places, from 1, of the turns whose role isn't that of the turn before."""
+    return F.expr(f"filter(sequence(1, size({turns})), i -> i = 1 OR {turns}[i - 1].role <> {turns}[greatest(i - 2, 0)].role)")
 
-    def add(blocks: Column, turn: Column) -> Column:
-        last = F.get(blocks, F.size(blocks) - 1)
-        same = F.coalesce(last["role"] == turn["role"], F.lit(False))
-        grown = F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(turn["text"])).alias("texts"))
-        fresh = F.struct(turn["role"].alias("role"), F.array(turn["text"]).alias("texts"))
-        return F.when(same, F.concat(F.slice(blocks, 1, F.size(blocks) - 1), F.array(grown))).otherwise(F.concat(blocks, F.array(fresh)))
 
-    return F.aggregate(turns, F.array().cast("array<struct<role:string,texts:array<string>>>"), add)
+def _merge(turns: str, changes: str) -> Column:
+    """Blocks (role, texts) of adjacent turns of one role: from each change to the next."""
+    own = f"slice({turns}, s, coalesce(get({changes}, k + 1), size({turns}) + 1) - s)"
+    return F.expr(f"transform({changes}, (s, k) -> named_struct('role', {turns}[s - 1].role, 'texts', transform({own}, x -> x.text)))")
 
 
 def _segments(blocks: Column) -> Column:
@@ -63,24 +63,27 @@ def _segments(blocks: Column) -> Column:
     return F.flatten(F.transform(blocks, of_block))
 
 
-def _spans(segments: Column) -> Column:
-    kind = "struct<at:int,spans:array<struct<start:int,length:int>>>"
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")).cast(kind)
+def _spans(segments: str, ends: str) -> Column:
+    """(start, length) of the pieces under the loss."""
+    kept = f"filter(transform({segments}, (s, i) -> named_struct('start', {ends}[i] - length(s.text), 'length', length(s.text), 'loss', s.loss)), x -> x.loss)"
+    return F.expr(f"transform({kept}, x -> named_struct('start', x.start, 'length', x.length))")
 
-    def add(state: Column, s: Column) -> Column:
-        n = F.length(s["text"])
-        span = F.array(F.struct(state["at"].alias("start"), n.alias("length")))
-        return F.struct((state["at"] + n).alias("at"), F.when(s["loss"], F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
 
-    return F.aggregate(segments, empty, add, lambda state: state["spans"])
+def _running(lengths: str) -> Column:
+    """Running sums of an array, each number added to those 1, 2, 4, ... places on: passes over the array as its length has binary digits, none grown by an element at a time."""
+    added = "transform(a, (x, i) -> x + IF(i >= shiftleft(1, k), a[greatest(i - shiftleft(1, k), 0)], 0))"
+    return F.expr(f"aggregate(sequence(0, 30), {lengths}, (a, k) -> IF(size(a) > shiftleft(1, k), {added}, a))")
 
 
 def format_chats(rows: DataFrame) -> DataFrame:
     """rows: conv_id, turn, role, text. Gives conv_id, formatted and loss (spans)."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    pieces = grouped.select("conv_id", _merge(F.col("turns")).alias("blocks")).select("conv_id", _segments(F.col("blocks")).alias("segments"))
-    return pieces.select("conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), _spans(F.col("segments")).alias("loss"))
+    # each step is a column of its own, as an expression that names it twice would work it out twice
+    steps = [("changes", _changes("turns")), ("blocks", _merge("turns", "changes")), ("segments", _segments(F.col("blocks"))), ("ends", _running("transform(segments, s -> length(s.text))"))]
+    for name, value in steps:
+        grouped = grouped.withColumn(name, once(value))
+    return grouped.select("conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), _spans("segments", "ends").alias("loss"))
 
 
 def read_back(formatted: Column) -> Column:

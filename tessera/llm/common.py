@@ -33,6 +33,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(c: Column) -> Column:
+    """The same value, computed once in its own step: what is above can't be merged into that step and name the expression several times, nor can a filter be pushed below it."""
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
 def packed(df: DataFrame, name: str = "_doc") -> Column:
     """All columns as one struct, so that columns added beside it can't clash with them."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)

@@ -1,9 +1,12 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule is an expression that rejects a text. On the first rows of the table its cost (seconds, above those of
-reading the text) and the share it rejects are measured; rules then stand in order of rejection per cost in one CASE, so
-that a text which a cheap rule rejects never reaches the costly ones. The order changes the time only, never the
-verdict: a text is kept if no rule rejects it.
+Each rule is an expression that rejects a text. A sample of ``SAMPLE_ROWS`` rows, those whose hashes are lowest in the whole table, tells what
+each rule rejects; its cost is the work it names (characters or words gone over, each at the nanoseconds of ``NS``) over the sample's
+texts. Rules are put in order greedily: the next one has the most rejections per cost among the sample's texts that are still there. So reruns
+agree, and an order follows the table. The order changes the time only, never the verdict: a text is kept if no rule rejects it.
+
+``keep_good`` filters by one rule after the other, so that a text which an early rule rejects never reaches a later one, the count of
+repeats included. The query's figures are wanted for every text; there the cascade holds what is left to find out.
 
 Everything is an expression over one row: no shuffle, no Python. Repeated three-word windows are found by
 sorting one long a window (hash bits above, position below) and confirming neighbours of equal hash by their words.
@@ -14,25 +17,30 @@ rows are each judged; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import time
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, packed, words
+from .common import let, once, packed, words
 
 SYMBOLS = r"[^#*$%&|<>]+"
 #: The query's limits. Base: fewest words; most repeated words in 100.
 MIN_WORDS, MAX_REPEAT = 50, 50
 #: The cascade's own: symbols in 100 words, capitals in 100 characters, repeated lines in 100 lines, mean word length.
 MAX_SYMBOLS, MAX_UPPER, MAX_DUP_LINES, MEAN_CHARS = 20, 40, 30, (2, 25)
-POSITION_BITS, SAMPLE_ROWS = 24, 64
+#: Any position in an array fits; hashes that share the bits left are told apart by their words.
+POSITION_BITS, SAMPLE_ROWS = 31, 256
+#: Nanoseconds a row, a character or a word, by what is done: measured on sf0.1 documents, and only their proportions matter.
+NS = {"row": 20, "join": 10, "classes": 34, "lines": 40, "pattern": 53, "repeats": 2900}
 
 
 class Rule(NamedTuple):
     name: str
     rejects: Column
+    #: What is done, and over how much of a text: rows, chars or words.
+    work: str = "row"
+    over: str = "rows"
 
 
 def n_symbols(text: Column) -> Column:
@@ -83,24 +91,24 @@ def with_repeat_words(df: DataFrame, w: str = "_w", name: str = "n_repeat_words"
     return df.drop(*[x for x in steps if x != name])
 
 
-def order_rules(df: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejection per cost. take() starts with one partition and stops when it has enough; only flags come back."""
+def sampled(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """doc_id and text of the rows whose hashes are lowest: one pass that sorts nothing but them."""
+    return docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id", "text"), "text").limit(rows)
 
-    def run(*columns: Column) -> tuple[float, list]:
-        plan, best = df.select(*columns), float("inf")
-        for _ in range(2):
-            began = time.perf_counter()
-            got = plan.take(sample_rows)
-            best = min(best, time.perf_counter() - began)
-        return best, got
 
-    base, _ = run(F.lit(1).alias("x"))
-    rated = []
-    for r in rules:
-        took, got = run(F.coalesce(r.rejects, F.lit(False)).alias("x"))
-        rejected = sum(x[0] for x in got) / max(1, len(got))
-        rated.append((-rejected / max(took - base, 1e-4), max(took - base, 1e-4), r.name, r))
-    return [x[-1] for x in sorted(rated, key=lambda x: x[:3])]
+def order_rules(sample: DataFrame, rules: list[Rule]) -> list[Rule]:
+    """The rules by rejection per cost. sample: a bounded number of rows with text, _w and what the rules read."""
+    sizes = [F.coalesce(F.length("text"), F.lit(0)).alias("_chars"), F.size("_w").alias("_words")]
+    got = sample.select(*sizes, *(F.coalesce(r.rejects, F.lit(False)).alias(f"_{i}") for i, r in enumerate(rules))).collect()  # a bounded number of rows of numbers
+    units = {"rows": len(got), "chars": sum(x["_chars"] for x in got), "words": sum(x["_words"] for x in got)}
+    cost = [NS["row"] * len(got) + NS[r.work] * units[r.over] for r in rules]
+    left, rest, out = got, list(range(len(rules))), []
+    while rest:
+        best = max(rest, key=lambda i: (sum(x[f"_{i}"] for x in left) / max(1, cost[i]), -cost[i], -i))
+        rest.remove(best)
+        out.append(rules[best])
+        left = [x for x in left if not x[f"_{best}"]]
+    return out
 
 
 def verdict(rules: list[Rule]) -> Column:
@@ -111,29 +119,32 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(None).cast("string") if out is None else out
 
 
-def rules(text: Column, w: Column | None = None, symbols: Column | None = None, chars: Column | None = None, dup: Column | None = None) -> list[Rule]:
-    """The production rules over one text's own figures. Columns that hold a figure already can be given."""
-    w = words(text) if w is None else w
-    n = F.size(w)
-    symbols = n_symbols(text) if symbols is None else symbols
-    chars = word_chars(w) if chars is None else chars
-    own = lines(text)
-    dup = let(own, n_dup_lines) if dup is None else dup
+def rules(text: Column, w: Column, symbols: Column | None = None, chars: Column | None = None, dup: Column | None = None, repeats: Column | None = None) -> list[Rule]:
+    """The production rules over a text and its words. Columns that hold a figure already can be given; the work on them is done."""
+    n, own = F.size(w), lines(text)
+
+    def given(figure: Column | None, work: str, over: str) -> tuple[str, str]:
+        return (work, over) if figure is None else ("row", "rows")
+
     return [
         Rule("short", n < MIN_WORDS),
-        Rule("symbols", 100 * symbols > MAX_SYMBOLS * n),
-        Rule("capitals", 100 * n_upper(text) > MAX_UPPER * F.length(text)),
-        Rule("lines", 100 * dup > MAX_DUP_LINES * F.size(own)),
-        Rule("word_length", (chars < MEAN_CHARS[0] * n) | (chars > MEAN_CHARS[1] * n)),
+        Rule("symbols", 100 * (n_symbols(text) if symbols is None else symbols) > MAX_SYMBOLS * n, *given(symbols, "pattern", "chars")),
+        Rule("capitals", 100 * n_upper(text) > MAX_UPPER * F.length(text), "classes", "chars"),
+        Rule("lines", 100 * (let(own, n_dup_lines) if dup is None else dup) > MAX_DUP_LINES * F.size(own), "lines", "chars"),
+        Rule("word_length", let(word_chars(w) if chars is None else chars, lambda c: (c < MEAN_CHARS[0] * n) | (c > MEAN_CHARS[1] * n)), *given(chars, "join", "chars")),
+        Rule("repeat", 100 * (F.col("n_repeat_words") if repeats is None else repeats) > MAX_REPEAT * n, *given(repeats, "repeats", "words")),
     ]
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that no rule rejects, columns as they were. Repeats, by far the costliest, are counted for what the cascade has left."""
-    rows = docs.select(packed(docs), "text")
-    left = rows.where(verdict(order_rules(rows, rules(F.col("text")))).isNull())
-    counted = with_repeat_words(left.withColumn("_w", words(F.col("text"))))
-    return counted.where(100 * F.col("n_repeat_words") <= MAX_REPEAT * F.size("_w")).select("_doc.*")
+    """The documents that no rule rejects, columns as they were."""
+    rows = docs.select(packed(docs), "text").withColumn("_w", once(words(F.col("text"))))
+    own = rules(F.col("text"), F.col("_w"))
+    for r in order_rules(with_repeat_words(sampled(docs).withColumn("_w", words(F.col("text")))), own):
+        if r.name == "repeat":
+            rows = with_repeat_words(rows)
+        rows = rows.where(~F.coalesce(r.rejects, F.lit(False)))
+    return rows.select("_doc.*")
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -145,11 +156,10 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def op9(docs: DataFrame) -> DataFrame:
+    own = rules(F.col("text"), F.col("_w"), *(F.col(c) for c in ("n_symbols", "word_chars", "n_dup_lines", "n_repeat_words")))
+    ordered = order_rules(measured(sampled(docs)), own)
     figures = measured(docs.select("doc_id", "text"))
-    own = rules(F.col("text"), F.col("_w"), F.col("n_symbols"), F.col("word_chars"), F.col("n_dup_lines"))
-    repeat = Rule("repeat", 100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
-    ordered = order_rules(figures, [*own, repeat])
-    failed = (F.col("n_words") < MIN_WORDS) | repeat.rejects
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     return figures.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & verdict(ordered).isNull()).alias("kept"))
 
 

@@ -36,8 +36,8 @@ class Rule(NamedTuple):
 #: The rules of the query.
 RULES = (Rule("com", "/", "allow"), Rule("example.com", "/en/", "block"), Rule("www.example.com", "/en/", "allow"), Rule("net", "/es/", "block"), Rule("net", "/fr/", "block"))
 BITS, MAX_BROADCAST = 16, 8 << 20
-#: The listing of the query: all canonical URLs seen on hosts with this first label.
-LISTED_LABEL = "spam-farm."
+#: The listing of the query: the canonical URLs of pages with a title of junk marks. It depends on what a page holds, not on its URL.
+JUNK_TITLE = r"<title>[^<]*(###|%%%|\*\*\*)"
 
 
 def _rest(url: Column) -> Column:
@@ -100,12 +100,12 @@ def fits(rule: Rule, host: Column, path: Column) -> Column:
     return ((host == rule.host) | host.endswith("." + rule.host)) & path.startswith(rule.path)
 
 
-def judge(pages: DataFrame, listed: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def judge(pages: DataFrame, listed: DataFrame, rules: tuple[Rule, ...] = RULES, bits: int = BITS, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """pages (with a url) as _doc, with host, path, rule and verdict. listed: a column url of listed URLs."""
     h, p = F.col("host"), F.col("path")
     own = pages.select(packed(pages), host(F.col("url")).alias("host"), path(F.col("url")).alias("path")).withColumn("url_key", canonical(h, p))
     other = listed.select(host(F.col("url")).alias("host"), path(F.col("url")).alias("path")).select(canonical(h, p).alias("url_key"))
-    found = hits(own, other)
+    found = hits(own, other, bits=bits, max_broadcast=max_broadcast)
     rule = verdict = None
     for r in sorted(rules, key=lambda r: -len(r.name)):
         rule = F.when(fits(r, h, p), r.name) if rule is None else rule.when(fits(r, h, p), r.name)
@@ -115,19 +115,19 @@ def judge(pages: DataFrame, listed: DataFrame, rules: tuple[Rule, ...] = RULES)
 
 
 def op3(pages: DataFrame) -> DataFrame:
-    listed = pages.select("url").where(host(F.col("url")).startswith(LISTED_LABEL))
+    listed = pages.where(F.rlike("html", F.lit(JUNK_TITLE))).select("url")
     return judge(pages.select("page_id", "url"), listed).select("_doc.page_id", "host", "path", "rule", "verdict", "listed")
 
 
-OP3_SQL = f"""
-WITH a AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-b AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+OP3_SQL = rf"""
+WITH a AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
 c AS (SELECT *, CASE WHEN host <> '' THEN host || regexp_replace(path, '/+$', '') END AS k FROM b),
 r(h, p, v) AS (VALUES {', '.join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in RULES)}),
 m AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v FROM c, r
     WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id),
-l AS (SELECT DISTINCT k FROM c WHERE starts_with(host, '{LISTED_LABEL}'))
+l AS (SELECT DISTINCT k FROM c WHERE regexp_matches(html, '{JUNK_TITLE}') AND k IS NOT NULL)
 SELECT c.page_id, host, path, rule, COALESCE(m.v, CASE WHEN l.k IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, l.k IS NOT NULL AS listed
 FROM c LEFT JOIN m USING (page_id) LEFT JOIN l ON c.k = l.k
 """

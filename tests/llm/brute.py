@@ -13,6 +13,10 @@ def lower(text: str) -> str:
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
 
 
+def thue_morse(n: int) -> list[bool]:
+    return [bin(i).count("1") % 2 == 1 for i in range(n)]
+
+
 def words(text: str | None) -> list[str]:
     return WORD.findall(text or "")
 

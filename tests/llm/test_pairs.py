@@ -121,3 +121,53 @@ def test_components(spark):
     assert len(got) == len({r.node for r in got}) and {r.node: r.component for r in got} == smallest_reachable(apart + more)
     none = components.joined_components(label, spark.createDataFrame([], "u bigint, v bigint"))
     assert {r.node: r.component for r in none.collect()} == smallest_reachable(apart)
+
+
+def patterned():
+    """Texts that polynomial hashes modulo 2**64 can't tell apart: Thue-Morse words and sequences, and their swaps."""
+    t = brute.thue_morse(2048)
+    letters = ["".join("xy"[b ^ swap] for b in t) for swap in (False, True)]
+    pairs = [" ".join(f"{'xy'[b ^ swap]} c{i}" for i, b in enumerate(t)) for swap in (False, True)]
+    return [*enumerate(letters, 1), *enumerate(pairs, 11)]
+
+
+@pytest.mark.parametrize("f, plain", [(neardup.op6, brute.near_duplicates), (substrings.op8, brute.repeats)])
+def test_patterned_texts(spark, f, plain):
+    rows = patterned()
+    assert sorted(tuple(r)[:4] for r in f(frame(spark, rows)).collect()) == plain(rows)
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_rows_of_one_id(spark, order):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (2, b + " tail"), (3, a + " end")][::order]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.op6(frame(spark, rows)).collect())
+    assert got == [(1, 56, 1, True), (1, 56, 1, True), (2, 57, 1, False), (3, 57, 1, False)]
+    assert sorted((r.doc_id, r.text) for r in neardup.drop_near_duplicates(frame(spark, rows)).collect()) == [(1, a), (1, b)]
+    got = sorted((r.doc_id, r.n_removed) for r in substrings.op8(frame(spark, rows)).collect())
+    assert got == [(1, 0), (1, 0), (2, 60), (3, 60)]
+
+
+def test_one_row_stays(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    # repeated rows, an id on two texts of which one is a copy, null ids, texts without words
+    rows = [(5, a), (5, a), (6, a), (6, b), (None, a), (None, "z " + b), (7, None), (7, None), (8, " ")]
+    got = [(r.doc_id, r.text) for r in neardup.drop_near_duplicates(frame(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(5, a), (6, b), (7, None), (7, None), (8, " ")], key=str)
+
+
+def test_many_members_of_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "AT_ONCE", 3)
+    rows = corpus(21)
+    assert sorted(tuple(r) for r in neardup.op6(frame(spark, rows)).collect()) == brute.near_duplicates(rows)
+
+
+def test_forest():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    u, v = rng.integers(0, 60, 70), rng.integers(0, 60, 70)
+    keep = u != v
+    node, root = components.forest(u[keep], v[keep])
+    want = smallest_reachable(list(zip(u[keep].tolist(), v[keep].tolist())))
+    assert dict(zip(node.tolist(), root.tolist())) == {n: c for n, c in want.items() if n != c}

@@ -34,7 +34,7 @@ def test_stages(spark, small_dir, tmp_path):
     assert all(spark.read.parquet(p).columns == columns for p in paths[:-1])
 
     assert ids[1] == Counter(r[0] for r in sql(f"SELECT doc_id FROM ({quality.OP9_SQL}) WHERE kept", paths[0]).fetchall())
-    assert ids[2] == Counter(r[0] for r in brute.near_duplicates([(r.doc_id, r.text) for r in rows[1]]) if r[3])
+    assert ids[2] == Counter(r[0] for r in brute.near_duplicates([(r.doc_id, r.text) for r in rows[1]], link=80) if r[3])
     assert 10**6 in ids[2] and 10**6 + 1 not in ids[2] and 10**6 + 2 not in ids[1]
 
     flat = {r.doc_id: f" {' '.join(re.findall(r'[^\W_]+', r.text.lower()))} " for r in rows[2]}
