@@ -82,11 +82,11 @@ def release(spark: SparkSession, *paths: str) -> None:
 def with_totals(rows: DataFrame, keys: list[str], by: list[str], spread: int = SPREAD, **totals: tuple[str, str]) -> DataFrame:
     """rows with totals over equal keys (none null): name=(kind, expression), kind one of min, max, sum.
 
-    Rows of one key are dealt over ``spread`` tasks by a hash of the columns ``by``; a key's own task sees at most one row for each of these,
-    so a key that holds a third of all rows makes no task large.
+    Rows are shuffled once, those of one key dealt over ``spread`` tasks by a hash of the columns ``by``; a key's own task sees at most one row
+    for each of these, so a key that holds a third of all rows makes no task large.
     """
     kinds = {"min": F.min, "max": F.max, "sum": F.sum}
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(spread)).cast("int"))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(spread)).cast("int")).repartition(*keys, "_salt")
     parts = salted.groupBy(*keys, "_salt").agg(*(kinds[kind](F.expr(of)).alias(name) for name, (kind, of) in totals.items()))
     whole = Window.partitionBy(*keys)
     parts = parts.select(*keys, "_salt", *(kinds[kind](name).over(whole).alias(name) for name, (kind, _) in totals.items()))

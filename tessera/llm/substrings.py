@@ -147,7 +147,7 @@ def _open_windows(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     """(id, t, at, ref) of the windows of blocks, which no smaller id has whole, with their references."""
     shared = with_totals(blocks, ["key"], ["id", "at"], _h=("min", "h1"), _g=("max", "h1"), _lo=("min", "id"), _hi=("max", "id"))
     open_ = shared.where("_h < _g AND _lo < _hi").groupBy("id", "t").agg(F.collect_set(F.struct("at", "len")).alias("open"))
-    windows = rows.join(open_, ["id", "t"]).select("id", "t", "text", "open").mapInArrow(_windows, "h1 bigint, h2 int, id bigint, t bigint, at int")
+    windows = rows.repartition("id", "t").join(open_, ["id", "t"]).select("id", "t", "text", "open").mapInArrow(_windows, "h1 bigint, h2 int, id bigint, t bigint, at int")
     return with_totals(windows, ["h1", "h2"], ["id", "at"], ref=("min", "struct(id, at)")).where("ref.id < id").select("id", "t", "at", F.lit(1).alias("len"), "ref")
 
 
@@ -156,15 +156,17 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", with_text: bool = False
     rows = docs.select(F.col(key).cast("bigint").alias("id"), F.xxhash64("text").alias("t"), "text")
     slim = stored(rows.mapInArrow(_first_pass, "id bigint, t bigint, n bigint, sha string, blocks array<struct<key:bigint,h1:bigint,h2:int,at:int,len:int>>"))
     # the least id of a class stands for it; of null ids nothing is said
-    long = slim.where(F.col("id").isNotNull() & (F.col("n") >= WINDOW))
-    copies = with_totals(long.select("id", "t", "sha", "n"), ["sha"], ["id", "t"], least=("min", "id")).where("least < id").select("id", "t").distinct()
-    blocks = long.join(copies, ["id", "t"], "left_anti").select("id", "t", F.inline("blocks"))
-    met = with_totals(blocks, ["key"], ["id", "at"], _lo=("min", "id"), _hi=("max", "id")).where("_lo < _hi").drop("_lo", "_hi")
-    met = stored(with_totals(met, ["h1", "h2"], ["id", "at"], ref=("min", "struct(id, at)")))
+    long = slim.where(F.col("id").isNotNull() & (F.col("n") >= WINDOW)).withColumn("d", F.xxhash64("sha"))
+    copies = stored(with_totals(long.select("id", "t", "sha"), ["sha"], ["id", "t"], least=("min", "id")).where("least < id").select("id", "t").distinct())
+    # anchors that different documents hold
+    held = long.select("d", F.explode(F.array_distinct("blocks.key")).alias("key")).groupBy("key").agg(F.min("d").alias("_lo"), F.max("d").alias("_hi"))
+    blocks = long.select("id", "t", F.inline("blocks")).join(held.where("_lo < _hi").select("key"), "key", "left_semi").join(copies, ["id", "t"], "left_anti")
+    met = stored(with_totals(blocks, ["h1", "h2"], ["id", "at"], ref=("min", "struct(id, at)")))
     later = met.where("ref.id < id").select("id", "t", "at", "len", "ref").unionByName(_open_windows(rows, met.where("ref.id = id").drop("ref")))
     entry = F.struct("at", "len", F.col("ref.id").alias("ref"), F.col("ref.at").alias("ref_at"))
-    found = stored(later.groupBy("id", "t").agg(F.collect_list(entry).alias("found")))
-    cut = rows.join(found, ["id", "t"]).select("id", "text", "found").mapInArrow(_cut(with_text), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, n_factors bigint, kept_text string")
+    # not written: in one plan with the cut, texts are shuffled once for both
+    found = later.groupBy("id", "t").agg(F.collect_list(entry).alias("found"))
+    cut = rows.repartition("id", "t").join(found, ["id", "t"]).select("id", "text", "found").mapInArrow(_cut(with_text), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, n_factors bigint, kept_text string")
     told = found.select("id", "t", F.lit("cut").alias("as")).unionByName(copies.select("id", "t", F.lit("copy").alias("as")))
     rest = slim.select("id", "t", "n", "sha").join(told, ["id", "t"], "left").where("as IS NULL OR as = 'copy'").withColumn("_all", F.col("as").isNotNull())
     rest = rest.select(F.col("id").alias("doc_id"), F.col("n").alias("n_words"), F.when(F.col("_all"), F.col("n")).otherwise(F.lit(0).cast("bigint")).alias("n_removed"), F.when(F.col("_all"), NOTHING).otherwise(F.col("sha")).alias("kept_sha256"), F.col("_all").cast("bigint").alias("n_factors"), F.lit(None).cast("string").alias("kept_text"))
