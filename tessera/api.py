@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 from dataclasses import dataclass
-from functools import reduce
 from pathlib import Path
 
-import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,61 +52,82 @@ def _inputs(path: str, kind: str, recursive: bool) -> list[str]:
     return files.manifest_files(path) if kind == "parquet-manifest" else [path]
 
 
-def _footers(paths: list[str]) -> list[tuple[int, int, int]]:
-    """(rows, row groups, uncompressed bytes) of each file."""
-    try:
-        found = [pq.ParquetFile(p).metadata for p in paths]
-    except Exception as e:
-        raise FormatError(f"can't read Parquet input: {e}") from e
-    return [(m.num_rows, m.num_row_groups, sum(m.row_group(i).total_byte_size for i in range(m.num_row_groups))) for m in found]
+@dataclass(frozen=True, slots=True)
+class _Encoding:
+    """What every conversion is asked for."""
 
+    batch: int
+    types: dict[str, str] | None
+    mode: str
+    keys: list[str] | None
+    sidecar: str | None
+    table_id: str | None
 
-def convert_with_result(input_path, output_path, *, input_format: str = "auto", batch_size: int = BATCH, column_types: dict[str, str] | None = None, encoding_rle: bool = True, adaptive_encoding: bool = False, workers: int | None = None, adaptive_workers: bool = True, infer_schema_rows: int = 10_000, delimiter: str = ",", has_header: bool = True, recursive: bool = False, row_key_columns=None, sidecar_path=None, table_id: str | None = None, spark: SparkSession | None = None) -> ConversionResult:
-    """Writes output_path from a CSV file, a Parquet file, a folder of Parquet files or a manifest. Slices are cut per file, so they don't depend on workers."""
-    source, target = str(input_path), str(output_path)
-    kind = files.input_format(source, input_format)
-    if isinstance(batch_size, bool) or batch_size < 1:
+
+def _checked(target: str, paths: list[str], batch_size, column_types, encoding_rle, adaptive_encoding, keys, sidecar_path, table_id) -> _Encoding:
+    if isinstance(batch_size, bool) or not isinstance(batch_size, int) or batch_size < 1:
         raise ValueError("batch_size must be positive")
-    asked = policy.workers(workers if workers is not None else 1 if kind == "csv" else 3)
-    sidecar.check_request(target, row_key_columns, sidecar_path, table_id)
-    mode = _mode(encoding_rle, adaptive_encoding)
-    paths = _inputs(source, kind, recursive)
+    sidecar.check_request(target, keys, sidecar_path, table_id)
     if any(os.path.realpath(p) == os.path.realpath(target) for p in paths):
         raise ValueError("input and output are the same file")
-    spark = spark or session()
-    if kind == "csv":
-        types = files.csv_types(files.infer_csv(source, infer_schema_rows, files._delimiter(delimiter), has_header), column_types)
-        rows, caps, used = files.read_csv(spark, source, types, delimiter, has_header), [batch_size], asked
-    else:
-        if not paths:
-            raise ValueError("no Parquet files are given")
-        shape = _footers(paths)
-        caps = [policy.batch_cap(batch_size, n, size) for n, _, size in shape]
-        used = policy.adaptive_workers(asked, sum(g for _, g, _ in shape), max(g for _, g, _ in shape), sum(s for *_, s in shape)) if adaptive_workers else asked
-        rows = files.parquet_files(spark, paths)
-        types = resolve(rows.drop("file_ordinal", "row_index").schema, column_types)
-        rows = _capped(rows, shape, caps, batch_size)
+    return _Encoding(batch_size, column_types, _mode(encoding_rle, adaptive_encoding), keys, sidecar_path, table_id)
+
+
+def _written(rows: DataFrame, types: dict[str, str], target: str, how: _Encoding, tasks: int | None) -> tuple[int, int]:
+    """(rows, slices) of the table file that is now there."""
     try:
-        n, slices, _ = sbdf.write(files.canonical_rows(rows, types), types, target, batch_size, mode)
+        n, slices, _ = sbdf.write(files.canonical_rows(rows, types), types, target, how.batch, how.mode, tasks)
     except (ValueError, TypeError, FormatError):
         raise
     except Exception as e:
         raise FormatError(str(e).split("\n\nJVM stacktrace")[0]) from e
-    return ConversionResult(Path(target), tuple(map(Path, paths)), asked, used, batch_size, tuple(caps), n, slices, _index(target, row_key_columns, sidecar_path, table_id))
-
-
-def _capped(rows: DataFrame, shape: list, caps: list[int], batch: int) -> DataFrame:
-    """Renumbers rows so that whole division by batch cuts each file at its own cap, and files apart. Numbers are only compared within and between slices."""
-    if len(set(caps)) == 1 and caps[0] == batch:
-        return rows
-    first_row, first_slice, parts, slices = 0, 0, [], 0
-    for i, ((n, _, _), cap) in enumerate(zip(shape, caps)):
-        own = F.col("row_index") - first_row
-        at = (first_slice + F.call_function("div", own, F.lit(cap).cast("bigint"))) * batch + own % cap
-        parts.append((i, at))
-        first_row, first_slice = first_row + n, first_slice + -(-n // cap)
-    number = reduce(lambda c, p: c.when(F.col("file_ordinal") == p[0], p[1]), parts[1:], F.when(F.col("file_ordinal") == parts[0][0], parts[0][1]))
-    return rows.withColumn("row_index", number)
+    return n, slices
+
+
+def _from_parquet(spark: SparkSession | None, paths: list[str], target: str, how: _Encoding, workers: int | None, adaptive: bool) -> ConversionResult:
+    asked = policy.workers(3 if workers is None else workers)
+    shapes = files.parquet_shapes(paths)
+    caps = [policy.batch_cap(how.batch, s.rows, s.bytes) for s in shapes]
+    used = policy.adaptive_workers(asked, sum(s.groups for s in shapes), max(s.groups for s in shapes), sum(s.bytes for s in shapes)) if adaptive else asked
+    rows = files.parquet_files(spark or session(), paths, how.batch, shapes, caps)
+    types = resolve(rows.drop("file_ordinal", "row_index", "slice_id").schema, how.types)
+    # workers given by name bound the tasks that encode; else Spark's own parallelism holds
+    n, slices = _written(rows, types, target, how, None if workers is None else used)
+    return ConversionResult(Path(target), tuple(Path(s.path) for s in shapes), asked, used, how.batch, tuple(caps), n, slices, _index(target, how.keys, how.sidecar, how.table_id))
+
+
+def convert_with_result(
+    input_path,
+    output_path,
+    *,
+    input_format: str = "auto",
+    batch_size: int = BATCH,
+    column_types: dict[str, str] | None = None,
+    encoding_rle: bool = True,
+    adaptive_encoding: bool = False,
+    workers: int | None = None,
+    adaptive_workers: bool = True,
+    infer_schema_rows: int = 10_000,
+    delimiter: str = ",",
+    has_header: bool = True,
+    recursive: bool = False,
+    row_key_columns=None,
+    sidecar_path=None,
+    table_id: str | None = None,
+    spark: SparkSession | None = None,
+) -> ConversionResult:
+    """Writes output_path from a CSV file, a Parquet file, a folder of Parquet files or a manifest. Slices are cut per file, so they don't depend on workers."""
+    source, target = str(input_path), str(output_path)
+    kind = files.input_format(source, input_format)
+    asked = policy.workers(workers if workers is not None else 1 if kind == "csv" else 3)
+    paths = _inputs(source, kind, recursive)
+    how = _checked(target, paths, batch_size, column_types, encoding_rle, adaptive_encoding, row_key_columns, sidecar_path, table_id)
+    if kind != "csv":
+        return _from_parquet(spark, paths, target, how, workers, adaptive_workers)
+    types = files.csv_types(files.infer_csv(source, infer_schema_rows, files._delimiter(delimiter), has_header), column_types)
+    rows = files.read_csv(spark or session(), source, types, delimiter, has_header)
+    n, slices = _written(rows, types, target, how, None if workers is None else asked)
+    return ConversionResult(Path(target), tuple(map(Path, paths)), asked, asked, batch_size, (batch_size,), n, slices, _index(target, row_key_columns, sidecar_path, table_id))
 
 
 def convert(input_path, output_path, **options) -> Path:
@@ -130,18 +150,25 @@ def parquet_manifest_to_sbdf(input_path, output_path, **options) -> Path:
     return convert(input_path, output_path, input_format="parquet-manifest", **options)
 
 
-def parquet_files_to_sbdf(paths, output_path, *, batch_size: int = BATCH, column_types=None, encoding_rle: bool = True, adaptive_encoding: bool = False, row_key_columns=None, sidecar_path=None, table_id=None, spark: SparkSession | None = None) -> Path:
+def parquet_files_to_sbdf(
+    paths,
+    output_path,
+    *,
+    batch_size: int = BATCH,
+    column_types=None,
+    encoding_rle: bool = True,
+    adaptive_encoding: bool = False,
+    workers: int | None = None,
+    adaptive_workers: bool = True,
+    row_key_columns=None,
+    sidecar_path=None,
+    table_id=None,
+    spark: SparkSession | None = None,
+) -> Path:
     """The files' rows in the order given, one table file."""
-    target = str(output_path)
-    sidecar.check_request(target, row_key_columns, sidecar_path, table_id)
-    rows = files.parquet_files(spark or session(), [str(p) for p in paths])
-    types = resolve(rows.drop("file_ordinal", "row_index").schema, column_types)
-    shape = _footers([str(p) for p in paths])
-    caps = [policy.batch_cap(batch_size, n, size) for n, _, size in shape]
-    rows = _capped(rows, shape, caps, batch_size)
-    sbdf.write(files.canonical_rows(rows, types), types, target, batch_size, _mode(encoding_rle, adaptive_encoding))
-    _index(target, row_key_columns, sidecar_path, table_id)
-    return Path(target)
+    target, listed = str(output_path), [str(p) for p in paths]
+    how = _checked(target, listed, batch_size, column_types, encoding_rle, adaptive_encoding, row_key_columns, sidecar_path, table_id)
+    return _from_parquet(spark, listed, target, how, workers, adaptive_workers).output_path
 
 
 def dataframe_to_sbdf(df, output_path, *, column_types: dict[str, str] | None = None, encoding_rle: bool = True, adaptive_encoding: bool = False, row_key_columns=None, sidecar_path=None, table_id=None) -> Path:
@@ -151,7 +178,7 @@ def dataframe_to_sbdf(df, output_path, *, column_types: dict[str, str] | None =
     overrides = column_types or {}
     if isinstance(df, DataFrame):
         types = resolve(df.schema, overrides, by_name=True)
-        sbdf.write(files.canonical_rows(_numbered(df), types), types, target, BATCH, _mode(encoding_rle, adaptive_encoding))
+        sbdf.write(files.canonical_rows(_numbered(df), types, nan_missing=True), types, target, BATCH, _mode(encoding_rle, adaptive_encoding))
     else:
         _frame(df, target, overrides, encoding_rle, adaptive_encoding)
     _index(target, row_key_columns, sidecar_path, table_id)
@@ -204,39 +231,45 @@ def _frame(df, target: str, overrides: dict[str, str], rle: bool, adaptive: bool
             w.file.write(sbdf.codec.preamble(names, w.kinds))
 
 
+def _boolean(v) -> bool:
+    known = {"true": True, "1": True, "false": False, "0": False}
+    try:
+        return known[v.strip().lower()] if isinstance(v, str) else bool(v)
+    except KeyError:
+        raise ValueError(f"not a boolean: {v}") from None
+
+
+def _datetime(v) -> dt.datetime:
+    if isinstance(v, str):
+        return dt.datetime.fromisoformat(v[:-1] + "+00:00" if v.endswith("Z") else v)
+    return v if isinstance(v, dt.datetime) else dt.datetime.combine(v, dt.time())
+
+
+def _part(kind: type, of_datetime: str):
+    """Dates and times: from text, or as a part of a point in time."""
+    return lambda v: kind.fromisoformat(v) if isinstance(v, str) else getattr(v, of_datetime)() if isinstance(v, dt.datetime) else v
+
+
+#: How a Python value becomes one of its column's logical type.
+CONVERTERS = {
+    "Boolean": _boolean,
+    "Integer": int,
+    "LongInteger": int,
+    "SingleReal": float,
+    "Real": float,
+    "String": str,
+    "Binary": lambda v: bytes(v) if isinstance(v, (bytes, bytearray)) else str(v).encode(),
+    "DateTime": _datetime,
+    "Date": _part(dt.date, "date"),
+    "Time": _part(dt.time, "time"),
+    "TimeSpan": lambda v: v if isinstance(v, dt.timedelta) else dt.timedelta(seconds=float(v)),
+}
+
+
 def coerce(v, name: str):
-    """A Python value as one of its column's type."""
-    import datetime as dt
-
-    if name == "Boolean":
-        if isinstance(v, str):
-            low = v.strip().lower()
-            if low not in ("true", "1", "false", "0"):
-                raise ValueError(f"not a boolean: {v}")
-            return low in ("true", "1")
-        return bool(v)
-    if name in ("Integer", "LongInteger"):
-        return int(v)
-    if name in ("SingleReal", "Real"):
-        return float(v)
-    if name == "String":
-        return str(v)
-    if name == "Binary":
-        return v if isinstance(v, (bytes, bytearray)) else str(v).encode()
-    if hasattr(v, "to_pydatetime"):
-        v = v.to_pydatetime()
-    if hasattr(v, "to_pytimedelta"):
-        v = v.to_pytimedelta()
-    if name == "DateTime":
-        v = dt.datetime.fromisoformat(v.replace("Z", "+00:00")) if isinstance(v, str) else v
-        return v if isinstance(v, dt.datetime) else dt.datetime(v.year, v.month, v.day)
-    if name == "Date":
-        v = dt.date.fromisoformat(v) if isinstance(v, str) else v
-        return v.date() if isinstance(v, dt.datetime) else v
-    if name == "Time":
-        v = dt.time.fromisoformat(v) if isinstance(v, str) else v
-        return v.time() if isinstance(v, dt.datetime) else v
-    return v if isinstance(v, dt.timedelta) else dt.timedelta(seconds=float(v))
+    """A Python value as one of its column's type. pandas' own points and spans of time count as Python's."""
+    plain = getattr(v, "to_pydatetime", None) or getattr(v, "to_pytimedelta", None)
+    return CONVERTERS[name](plain() if plain and name in ("DateTime", "Date", "Time", "TimeSpan") else v)
 
 
 def generate_sidecar(path, *, row_key_columns, sidecar_path=None, table_id=None) -> Path:

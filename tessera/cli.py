@@ -3,30 +3,34 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
+import tempfile
 from pathlib import Path
 
 from .api import convert_with_result
 from .functions.types import FormatError
+from .sources.files import ALIASES, FORMATS
 
 VERSION = "0.1.0"
 README = """# Table file project
 
     python -m tessera.cli convert input.csv output.sbdf
-    python -m tessera.cli convert data/ output.sbdf --format parquet-dataset --row-key id
+    python -m tessera.cli convert data/ output.sbdf --input-format parquet-dataset --row-key id
 """
 
 
-def column_types(pairs: list[str]) -> dict[str, str]:
-    out: dict[str, str] = {}
-    for p in pairs:
-        name, sep, kind = p.partition("=")
-        if not (name and sep and kind):
-            raise ValueError(f"a column type is NAME=TYPE, not {p}")
-        if name in out:
+class _Types(argparse.Action):
+    """Gathers NAME=TYPE options into one mapping."""
+
+    def __call__(self, parser, namespace, value, option=None):
+        name, _, kind = value.partition("=")
+        known = dict(getattr(namespace, self.dest) or {})
+        if not name or not kind:
+            raise ValueError(f"{option} takes NAME=TYPE, not {value}")
+        if name in known:
             raise ValueError(f"column {name} has two types")
-        out[name] = kind
-    return out
+        setattr(namespace, self.dest, known | {name: kind})
 
 
 def parser() -> argparse.ArgumentParser:
@@ -37,17 +41,15 @@ def parser() -> argparse.ArgumentParser:
     c = sub.add_parser("convert", help="write a table file")
     c.add_argument("input")
     c.add_argument("output")
-    c.add_argument("--format", default="auto")
+    c.add_argument("--input-format", "--format", default="auto", choices=[*FORMATS, *ALIASES, "auto"])
     c.add_argument("--batch-size", type=int, default=5000)
-    c.add_argument("--column-type", action="append", default=[], metavar="NAME=TYPE")
-    c.add_argument("--no-rle", action="store_true")
-    c.add_argument("--adaptive-encoding", action="store_true")
     c.add_argument("--workers", type=int)
-    c.add_argument("--no-adaptive-workers", action="store_true")
+    c.add_argument("--column-type", action=_Types, dest="column_types", metavar="NAME=TYPE")
+    # each of these has a --no- form
+    for flag, default in (("encoding-rle", True), ("adaptive-encoding", False), ("adaptive-workers", True), ("header", True), ("recursive", False)):
+        c.add_argument(f"--{flag}", action=argparse.BooleanOptionalAction, default=default)
     c.add_argument("--infer-schema-rows", type=int, default=10_000)
     c.add_argument("--delimiter", default=",")
-    c.add_argument("--no-header", action="store_true")
-    c.add_argument("--recursive", action="store_true")
     c.add_argument("--row-key", action="append")
     c.add_argument("--sidecar")
     c.add_argument("--table-id")
@@ -58,23 +60,33 @@ def parser() -> argparse.ArgumentParser:
 
 
 def init(directory: str, force: bool) -> Path:
-    path = Path(directory) / "README.md"
-    path.parent.mkdir(parents=True, exist_ok=True)
-    with path.open("w" if force else "x") as f:
+    """Writes the README in one step; one that is there stays unless force is given."""
+    folder = Path(directory)
+    folder.mkdir(parents=True, exist_ok=True)
+    path = folder / "README.md"
+    if path.exists() and not force:
+        raise FileExistsError(f"{path} is there already")
+    with tempfile.NamedTemporaryFile("w", dir=folder, delete=False) as f:
         f.write(README)
+    os.replace(f.name, path)
     return path
 
 
+def _convert(args) -> str:
+    named = ("input_format", "batch_size", "column_types", "encoding_rle", "adaptive_encoding", "workers", "adaptive_workers", "infer_schema_rows", "delimiter", "recursive", "table_id")
+    options = {k: getattr(args, k) for k in named}
+    r = convert_with_result(args.input, args.output, **options, has_header=args.header, row_key_columns=args.row_key, sidecar_path=args.sidecar)
+    return f"{r.output_path}: {r.row_count} rows in {r.slice_count} slices"
+
+
 def main(argv: list[str] | None = None) -> int:
-    args = parser().parse_args(argv)
+    own = parser()
     try:
-        if args.command == "convert":
-            r = convert_with_result(args.input, args.output, input_format=args.format, batch_size=args.batch_size, column_types=column_types(args.column_type), encoding_rle=not args.no_rle, adaptive_encoding=args.adaptive_encoding, workers=args.workers, adaptive_workers=not args.no_adaptive_workers, infer_schema_rows=args.infer_schema_rows, delimiter=args.delimiter, has_header=not args.no_header, recursive=args.recursive, row_key_columns=args.row_key, sidecar_path=args.sidecar, table_id=args.table_id)
-            print(f"{r.output_path}: {r.row_count} rows in {r.slice_count} slices")
-        elif args.command == "init":
-            print(init(args.directory, args.force))
-        else:
-            parser().print_help()
+        args = own.parse_args(argv)
+        if args.command is None:
+            own.print_usage(sys.stderr)
+            return 2
+        print(_convert(args) if args.command == "convert" else init(args.directory, args.force))
     except (FormatError, OSError, TypeError, ValueError) as e:
         print(e, file=sys.stderr)
         return 2

@@ -172,3 +172,9 @@ def fnv1a(data: bytes) -> int:
     for b in data:
         h = (h ^ b) * 0x100000001B3 & (1 << 64) - 1
     return h
+
+
+def fingerprint(types: dict[str, str], encoding_rle: bool = True, adaptive_encoding: bool = False) -> int:
+    """A checksum of a table's columns, their types and how they are encoded."""
+    flags = bytes([encoding_rle, adaptive_encoding])
+    return fnv1a(b"".join(c.encode() + b"\0" + t.encode() + flags for c, t in types.items()))

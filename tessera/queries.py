@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import csv
+import itertools
 import os
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.types import CATALOG, canonical, boolean_of, date_ms, fnv1a, of_name, resolve, stored, time_of_day_ms, timestamp_ms, varint_size
+from . import api
+from .functions.types import CATALOG, boolean_of, canonical, date_ms, fingerprint, fnv1a, instant_ms, of_name, resolve, stored, time_of_day_ms, timestamp_ms, varint_size
 from .plans import layout, policy
-from .sources import files, sbdf
+from .sources import codec, files, sbdf
+from .streaming.writer import StreamingWriter
 
 ROWS = "row_number() OVER () - 1"
 EPOCH = "62135596800000"
@@ -113,12 +119,12 @@ def q12(spark, d):
 def q13(spark, d):
     rows = _events(spark, d)
     found = layout.coordinates(rows, ["user_id"], layout.slice_layout(rows, EVENT, 1700), "t", "events.sbdf", 1700)
-    return found.where(F.col("user_id") % 50 == 7).groupBy(F.col("__sbdf_slice_id").alias("slice_id"), F.col("__sbdf_byte_offset").alias("byte_offset"), F.col("__sbdf_byte_length").alias("byte_length")).agg(F.count("*").alias("n_rows"))
+    return found.groupBy("user_id", F.col("__sbdf_slice_id").alias("slice_id"), F.col("__sbdf_byte_offset").alias("byte_offset"), F.col("__sbdf_byte_length").alias("byte_length")).agg(F.count("*").alias("n_rows"))
 
 
 def q14(spark, d):
-    rows = files.parquet_files(spark, [_p(d, "nation"), _p(d, "nation")])
-    return rows.select("file_ordinal", "row_index", "n_nationkey", "n_name")
+    rows = files.parquet_files(spark, [_p(d, "orders"), _p(d, "orders")], 700)
+    return rows.select("file_ordinal", "row_index", "slice_id", "o_orderkey", "o_orderpriority")
 
 
 def q15(spark, d):
@@ -173,8 +179,10 @@ def q21(spark, d):
 
 
 def q22(spark, d):
+    """Checksums of the regions' names (five by the table's nature) and the fingerprint of a schema of theirs."""
     names = [r[0] for r in spark.read.parquet(_p(d, "region")).select("r_name").orderBy("r_name").collect()]
-    return spark.createDataFrame([(n, f"{fnv1a(n.encode()):016x}") for n in names], "r_name string, checksum string")
+    of_schema = fingerprint(dict.fromkeys(names, "String"))
+    return spark.createDataFrame([(n, f"{fnv1a(n.encode()):016x}", f"{of_schema:016x}") for n in names], "r_name string, checksum string, schema_fingerprint string")
 
 
 def q23(spark, d):
@@ -202,14 +210,173 @@ def q26(spark, d):
     return spark.createDataFrame([(i, p, files.input_format(p, is_dir=False)) for i, p in enumerate(sorted(PATHS))], "ordinal int, path string, format string")
 
 
+def _csv(spark, d, name: str, columns: dict[str, str] | None = None, end: str = "\n") -> str:
+    """A table as one CSV file, quoted as usual; columns: name -> SQL. end closes lines."""
+    path = f"{_shared(spark)}/{name}.csv"
+    df = spark.read.parquet(_p(d, name))
+    df = df.selectExpr(*[f"{v} AS {k}" for k, v in columns.items()]) if columns else df
+    with open(path, "w", newline="", encoding="utf-8") as f:
+        out = csv.writer(f, lineterminator=end)
+        out.writerow(df.columns)
+        for r in df.toLocalIterator():
+            out.writerow(["" if v is None else v for v in r])
+    return path
+
+
 def q27(spark, d):
-    sample = spark.read.parquet(_p(d, "part")).orderBy("p_partkey").limit(100)
-    rows = sample.select(*[F.col(c).cast("string").alias(c) for c in sample.columns]).collect()
-    return spark.createDataFrame([(c, files.infer_values([r[c] for r in rows if r[c] != ""])) for c in sample.columns], "column_name string, type_name string")
+    found = files.infer_csv(_csv(spark, d, "part"))
+    return spark.createDataFrame(list(found.items()), "column_name string, type_name string")
+
+
+def q28(spark, d):
+    """Text with quotes, line breaks and other scripts through CSV and a table file."""
+    source = _csv(spark, d, "documents")
+    target = f"{source}.sbdf"
+    api.csv_to_sbdf(source, target, column_types={"doc_id": "LongInteger"}, spark=spark)
+    return sbdf.read(spark, target, row_index=True)
+
+
+WIDE = {f"c{i:02d}": e for i, e in enumerate(["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "cast(o_orderdate AS date)", "o_orderpriority"] * 3 + ["o_orderkey % 2 = 0", "if(o_orderkey % 3 = 0, NULL, o_orderkey)"])}
+
+
+def q29(spark, d):
+    """Twenty columns, with CRLF line ends, empty fields and Booleans."""
+    source = _csv(spark, d, "orders", WIDE, "\r\n")
+    target = f"{source}.sbdf"
+    api.csv_to_sbdf(source, target, adaptive_encoding=True, spark=spark)
+    return sbdf.read(spark, target)
+
+
+def _spans(spark, path: str) -> DataFrame:
+    """(slice_id, byte_offset, byte_length, n_rows) as a table file's own headers have them."""
+    with open(path, "rb") as f:
+        found = [(i, *x) for i, x in enumerate(codec.slice_spans(f, codec.read_table(f)))]
+    return spark.createDataFrame(found, "slice_id bigint, byte_offset bigint, byte_length bigint, n_rows bigint")
+
+
+def q30(spark, d):
+    """Slices of a list of two files: they end with their file."""
+    target = f"{_shared(spark)}/two.sbdf"
+    api.parquet_files_to_sbdf([_p(d, "orders"), _p(d, "nation")][:1] * 2, target, batch_size=700, workers=2, spark=spark)
+    return _spans(spark, target).select("slice_id", "n_rows")
+
+
+def _folder(spark, d) -> str:
+    """customer in three Parquet files, dealt by key; b.parquet comes between the others."""
+    base = _shared(spark)
+    rows = pq.read_table(_p(d, "customer"))
+    key = rows.column("c_custkey").to_numpy() % 3
+    for i, name in enumerate(("a", "b", "c")):
+        pq.write_table(rows.filter(pa.array(key == i)), f"{base}/{name}.parquet", row_group_size=97)
+    return base
+
+
+def q31(spark, d):
+    base = _folder(spark, d)
+    api.convert(base, f"{base}/all.sbdf", spark=spark)
+    return sbdf.read(spark, f"{base}/all.sbdf", row_index=True)
+
+
+def q32(spark, d):
+    base = _folder(spark, d)
+    with open(f"{base}/list.manifest", "w") as f:
+        f.write(f"# the last comes first\n\n{base}/c.parquet\n  a.parquet\n")
+    api.convert(f"{base}/list.manifest", f"{base}/some.sbdf", batch_size=50, encoding_rle=False, spark=spark)
+    return sbdf.read(spark, f"{base}/some.sbdf", ["c_custkey", "c_mktsegment"], row_index=True)
+
+
+def _nulls(spark, d) -> DataFrame:
+    e = layout.read_indexed(spark, _p(d, "events"))
+    return e.selectExpr("row_index", "event_id", "ts", "nullif(event_type, 'error') AS event_type", "if(user_id % 5 = 0, NULL, user_id) AS user_id", "if(event_id % 4 = 0, NULL, value) AS value", "if(event_id % 3 = 0, NULL, event_id % 2 = 0) AS flag", "encode(props, 'utf-8') AS props")
+
+
+NULLS_SQL = f"""n AS (SELECT {ROWS} AS row_index, event_id, epoch_us(ts) // 1000 + {EPOCH} AS ts, nullif(event_type, 'error') AS event_type, CASE WHEN user_id % 5 <> 0 THEN user_id END AS user_id,
+    CASE WHEN event_id % 4 <> 0 THEN value END AS value, CASE WHEN event_id % 3 <> 0 THEN event_id % 2 = 0 END AS flag, hex(encode(props)) AS props FROM events)"""
+
+
+def q33(spark, d):
+    """Every stored kind with nulls, there and back."""
+    rows, target = _nulls(spark, d), f"{_shared(spark)}/nulls.sbdf"
+    types = resolve(rows.drop("row_index").schema)
+    sbdf.write(files.canonical_rows(rows, types), types, target, 1700)
+    return sbdf.read(spark, target, row_index=True).withColumn("props", F.hex("props"))
+
+
+ONE = {"event_type": "String", "flag": "Boolean", "props": "Binary", "user_id": "LongInteger"}
+
+
+def q34(spark, d):
+    """Bytes of each slice for a column alone under each encoding: runs never for binary values, bits always for Booleans."""
+    rows, base, out = _nulls(spark, d), _shared(spark), None
+    for c, t in ONE.items():
+        for mode in codec.MODES:
+            target = f"{base}/{c}-{mode}.sbdf"
+            sbdf.write(files.canonical_rows(rows.select("row_index", c), {c: t}), {c: t}, target, 1700, mode)
+            own = _spans(spark, target).select(F.lit(c).alias("col"), F.lit(mode).alias("mode"), "slice_id", "n_rows", "byte_length")
+            out = own if out is None else out.unionByName(own)
+    return out
+
+
+def q35(spark, d):
+    """A sidecar's file: a temporal and a text key with nulls, coordinates and byte ranges."""
+    base = _shared(spark)
+    rows = _nulls(spark, d).select("row_index", "event_type", "ts")
+    types = {"event_type": "String", "ts": "DateTime"}
+    sbdf.write(files.canonical_rows(rows, types), types, f"{base}/e.sbdf", 1700, "plain")
+    return spark.read.parquet(f"file://{api.generate_sidecar(f'{base}/e.sbdf', row_key_columns=['event_type', 'ts'], table_id='t')}")
+
+
+def q36(spark, d):
+    """A pandas frame with NaN, None and overrides."""
+    e = pq.read_table(_p(d, "events"), columns=["event_id", "event_type", "value"]).to_pandas()
+    e["value"] = e["value"].where(e["event_id"] % 4 != 0)
+    e["event_type"] = e["event_type"].where(e["event_type"] != "error", None)
+    target = f"{_shared(spark)}/pandas.sbdf"
+    api.to_sbdf(e, target, column_types={"event_id": "String"})
+    return sbdf.read(spark, target)
+
+
+def q37(spark, d):
+    """A Spark frame: NaN is missing there, and a name with time in it means a point in time."""
+    e = spark.read.parquet(_p(d, "events")).selectExpr("event_id", "if(event_id % 4 = 0, double('NaN'), value) AS value", "ts AS event_time", "cast(user_id AS int) AS wafer_id")
+    target = f"{_shared(spark)}/frame.sbdf"
+    api.dataframe_to_sbdf(e, target)
+    return sbdf.read(spark, target)
+
+
+def q38(spark, d):
+    """Batches of Python values, with points in time before 1970: parts of a millisecond go down there, whatever the year."""
+    rows = spark.read.parquet(_p(d, "events")).selectExpr("event_id", "ts - INTERVAL 80 YEARS AS ts", "cast(ts AS date) AS day", "event_type").toLocalIterator()
+    target = f"{_shared(spark)}/batches.sbdf"
+    with StreamingWriter(target, column_types={"event_type": "String"}) as w:
+        while some := list(itertools.islice(rows, 900)):
+            w.write_batch({"event_id": [r.event_id for r in some], "ts": [r.ts for r in some], "day": [r.day for r in some], "event_type": [None if r.event_type == "error" else r.event_type for r in some]})
+    return sbdf.read(spark, target)
+
+
+def q39(spark, d):
+    """Points in time before 1970 from Parquet: parts of a millisecond go towards 1970; from instants they go down."""
+    old = spark.read.parquet(_p(d, "events")).select("event_id", F.expr("ts - INTERVAL 80 YEARS").alias("ts"))
+    return old.select("event_id", timestamp_ms(F.col("ts")).alias("ms"), instant_ms(F.col("ts")).alias("floor_ms"))
+
+
+def q40(spark, d):
+    """What a conversion says of itself."""
+    base = _folder(spark, d)
+    r = api.convert_with_result(base, f"{base}/all.sbdf", batch_size=100, workers=2, adaptive_workers=False, spark=spark)
+    return spark.createDataFrame([(r.row_count, r.slice_count, len(r.input_files), r.requested_workers, r.effective_workers, r.requested_batch_size)], "n_rows bigint, n_slices bigint, n_files int, asked int, used int, batch int")
+
+
+def q41(spark, d):
+    """Spans of time and times of day as columns of their own types."""
+    e = spark.read.parquet(_p(d, "events")).selectExpr("event_id", "cast(ts AS timestamp_ntz) - date_trunc('YEAR', ts) AS since", "ts")
+    types = {"event_id": "LongInteger", "since": "TimeSpan", "ts": "Time"}
+    kinds = {f.name: f.dataType for f in e.schema.fields}
+    return e.select(*[canonical(F.col(c), kinds[c], t).cast(stored(t)).alias(c) for c, t in types.items()])
 
 
 def queries() -> dict:
-    names = "scan_parquet_typed type_catalog datetime_to_ms date_to_ms time_to_ms timespan_to_ms null_bitmap slice_plan rle_runs adaptive_choice slice_layout sidecar_coordinates sidecar_lookup ordered_concat cast_overrides name_rules csv_roundtrip sbdf_roundtrip worker_policy batch_cap bool_parse fnv1a_checksum varint_size bit_pack manifest_parse dataset_listing csv_infer_sample".split()
+    names = "scan_parquet_typed type_catalog datetime_to_ms date_to_ms time_to_ms timespan_to_ms null_bitmap slice_plan rle_runs adaptive_choice slice_layout sidecar_coordinates sidecar_lookup ordered_concat cast_overrides name_rules csv_roundtrip sbdf_roundtrip worker_policy batch_cap bool_parse fnv1a_checksum varint_size bit_pack manifest_parse dataset_listing csv_infer_sample convert_csv convert_wide_csv slices_per_file convert_dataset convert_manifest nulls_roundtrip encodings_by_column sidecar_file pandas_frame spark_frame batch_writer before_1970 conversion_result spans_and_times".split()
     return {f"q{i:02d}_{n}": globals()[f"q{i:02d}"] for i, n in enumerate(names, 1)}
 
 
@@ -243,6 +410,24 @@ def _values(rows) -> str:
 
 _TYPES = [("lineitem", c, t) for c, t in zip("l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split(), ["LongInteger"] * 3 + ["Integer"] + ["Real"] * 4 + ["String"] * 2 + ["DateTime"])] + [("events", c, t) for c, t in zip("event_id ts user_id event_type value props".split(), "LongInteger DateTime LongInteger String Real String".split())]
 
+_WIDE_SQL = {"cast(o_orderdate AS date)": "date_diff('day', DATE '0001-01-01', o_orderdate::DATE) * 86400000", "if(o_orderkey % 3 = 0, NULL, o_orderkey)": "CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey END"}
+
+
+def _one_sql() -> str:
+    """Sizes of slices of one column: s has plain and run sizes for text and numbers; Booleans are bits, binary values plain."""
+    kinds = [(c, "String" if t == "Binary" else t) for c, t in ONE.items() if t != "Boolean"]
+    values = [({"props": "CASE WHEN true THEN props_text END"}.get(c, c), k) for c, k in kinds]
+    names = ", ".join(f"({i}, '{c}')" for i, (c, _) in enumerate(kinds))
+    frame = f"n0 AS (SELECT {ROWS} AS row_index, props AS props_text FROM events), nn AS (SELECT n.*, props_text FROM n JOIN n0 USING (row_index))"
+    rest = "7 + 3 + CASE WHEN nulls = 0 THEN 4 ELSE 23 + (n + 7) // 8 END"
+    size = "CASE WHEN name = 'props' OR mode = 'plain' THEN plain_size WHEN mode = 'rle' THEN rle_size ELSE least(plain_size, rle_size) END"
+    modes = "(VALUES ('plain'), ('rle'), ('adaptive')) m(mode)"
+    flags = f"SELECT 'flag' AS col, mode, row_index // 1700 AS slice_id, count(*) AS n_rows, (7 + 3 + 6 + (count(*) + 7) // 8 + CASE WHEN count(flag) = count(*) THEN 4 ELSE 23 + (count(*) + 7) // 8 END)::BIGINT AS byte_length FROM n, {modes} GROUP BY ALL"
+    return f"WITH {NULLS_SQL}, {frame}, {_sizes('nn', 1700, values)} SELECT name AS col, mode, slice_id, n AS n_rows, ({rest} + {size})::BIGINT AS byte_length FROM s JOIN (VALUES {names}) v(col, name) USING (col), {modes} UNION ALL {flags}"
+
+
+_ONE_SQL = _one_sql()
+
 SQL = {
     "q01": f"{_LINE} FROM lineitem",
     "q02": f"SELECT * FROM (VALUES {_values((*t, CATALOG[t[2]].id, CATALOG[t[2]].width) for t in _TYPES)}) v(table_name, column_name, type_name, type_id, width)",
@@ -256,8 +441,8 @@ SQL = {
     "q10": f"{_EVENT} SELECT slice_id, col, n, nulls, plain_size, rle_size, CASE WHEN rle_size < plain_size THEN 2 ELSE 1 END AS encoding, least(plain_size, rle_size) AS value_size FROM s",
     "q11": f"{_LAYOUT} SELECT * FROM l",
     "q12": f"{_LAYOUT} SELECT event_id, 't' AS __sbdf_table_id, 'events.sbdf' AS __sbdf_file, slice_id AS __sbdf_slice_id, row_index AS __sbdf_row_index, row_index - slice_id * 1700 AS __sbdf_row_in_slice, slice_id * 1700 AS __sbdf_slice_row_start, n_rows AS __sbdf_slice_row_count, byte_offset AS __sbdf_byte_offset, byte_length AS __sbdf_byte_length FROM e JOIN l ON slice_id = row_index // 1700",
-    "q13": f"{_LAYOUT} SELECT slice_id, byte_offset, byte_length, count(*) AS n_rows FROM e JOIN l ON slice_id = row_index // 1700 WHERE user_id % 50 = 7 GROUP BY 1, 2, 3",
-    "q14": f"WITH n AS (SELECT *, {ROWS} AS i FROM nation) SELECT f AS file_ordinal, f * (SELECT count(*) FROM n) + i AS row_index, n_nationkey, n_name FROM n, (VALUES (0), (1)) v(f)",
+    "q13": f"{_LAYOUT} SELECT user_id, slice_id, byte_offset, byte_length, count(*) AS n_rows FROM e JOIN l ON slice_id = row_index // 1700 GROUP BY 1, 2, 3, 4",
+    "q14": f"WITH n AS (SELECT *, {ROWS} AS i, count(*) OVER () AS k FROM orders) SELECT f::INTEGER AS file_ordinal, f * k + i AS row_index, f * ((k + 699) // 700) + i // 700 AS slice_id, o_orderkey, o_orderpriority FROM n, (VALUES (0), (1)) v(f)",
     "q15": "SELECT p_partkey::VARCHAR AS p_partkey, hex(encode(p_name)) AS p_name, p_size::BIGINT AS p_size, p_retailprice::FLOAT::DOUBLE AS p_retailprice FROM part",
     "q16": f"SELECT event_id, epoch_us(ts) // 1000 + {EPOCH} AS event_time, user_id::BIGINT AS wafer_id, 'DateTime' AS event_time_type, 'LongInteger' AS wafer_id_type FROM events",
     "q17": "SELECT c_custkey, nullif(c_name, '') AS c_name, c_nationkey, c_acctbal, nullif(c_mktsegment, '') AS c_mktsegment FROM customer",
@@ -270,6 +455,29 @@ SQL = {
     "q25": "SELECT * FROM (VALUES (0, 'a.parquet'), (1, 'sub/b.parquet'), (2, '/abs/d.pq')) v(ordinal, path)",
     "q26": "SELECT row_number() OVER (ORDER BY path) - 1 AS ordinal, path, CASE WHEN lower(path) LIKE '%.csv' THEN 'csv' WHEN lower(path) LIKE '%.manifest' THEN 'parquet-manifest' ELSE 'parquet' END AS format FROM (VALUES " + _values((p,) for p in PATHS) + ") v(path)",
     "q27": "SELECT * FROM (VALUES ('p_partkey', 'LongInteger'), ('p_name', 'String'), ('p_brand', 'String'), ('p_type', 'String'), ('p_size', 'LongInteger'), ('p_retailprice', 'Real')) v(column_name, type_name)",
+    "q28": f"SELECT doc_id, nullif(text, '') AS text, lang, source, n_chars, {ROWS} AS row_index FROM documents",
+    "q29": "SELECT " + ", ".join(f"{_WIDE_SQL.get(e, e)} AS {c}" for c, e in WIDE.items()) + " FROM orders",
+    "q30": "WITH n AS (SELECT count(*) AS k FROM orders) SELECT i AS slice_id, least(700, k - (i % ((k + 699) // 700)) * 700) AS n_rows FROM n, unnest(range(2 * ((k + 699) // 700))) u(i)",
+    "q31": f"WITH n AS (SELECT *, {ROWS} AS i FROM customer) SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, row_number() OVER (ORDER BY c_custkey % 3, i) - 1 AS row_index FROM n",
+    "q32": f"WITH n AS (SELECT *, {ROWS} AS i FROM customer) SELECT c_custkey, c_mktsegment, row_number() OVER (ORDER BY c_custkey % 3 DESC, i) - 1 AS row_index FROM n WHERE c_custkey % 3 <> 1",
+    "q33": f"WITH {NULLS_SQL} SELECT * FROM n",
+    "q34": _ONE_SQL,
+    "q35": f"""WITH {NULLS_SQL}, r AS (SELECT *, row_index // 1700 AS s FROM n),
+l AS (SELECT s, count(*) AS k, 7 + 2 * 3 + 10 + sum(COALESCE(strlen(event_type), 0) + 1) + 6 + 8 * count(*) + 4 + CASE WHEN count(event_type) = count(*) THEN 4 ELSE 23 + (count(*) + 7) // 8 END AS bytes FROM r GROUP BY s),
+o AS (SELECT *, {layout.preamble_size(["event_type", "ts"])} + COALESCE(sum(bytes) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM l)
+SELECT event_type, ts, 't' AS __sbdf_table_id, 'e.sbdf' AS __sbdf_file, s AS __sbdf_slice_id, row_index AS __sbdf_row_index, row_index - s * 1700 AS __sbdf_row_in_slice,
+    s * 1700 AS __sbdf_slice_row_start, k AS __sbdf_slice_row_count, begins::BIGINT AS __sbdf_byte_offset, bytes::BIGINT AS __sbdf_byte_length FROM r JOIN o USING (s)""",
+    "q36": "SELECT event_id::VARCHAR AS event_id, nullif(event_type, 'error') AS event_type, CASE WHEN event_id % 4 <> 0 THEN value END AS value FROM events",
+    "q37": f"SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN value END AS value, epoch_us(ts) // 1000 + {EPOCH} AS event_time, user_id AS wafer_id FROM events",
+    "q38": f"SELECT event_id, floor(epoch_us(ts - INTERVAL 80 YEARS) / 1000.0)::BIGINT + {EPOCH} AS ts, date_diff('day', DATE '0001-01-01', ts::DATE) * 86400000 AS day, nullif(event_type, 'error') AS event_type FROM events",
+    "q39": f"SELECT event_id, trunc(epoch_us(ts - INTERVAL 80 YEARS) / 1000.0)::BIGINT + {EPOCH} AS ms, floor(epoch_us(ts - INTERVAL 80 YEARS) / 1000.0)::BIGINT + {EPOCH} AS floor_ms FROM events",
+    "q40": "SELECT count(*) AS n_rows, (SELECT sum((k + 99) // 100)::BIGINT FROM (SELECT count(*) AS k FROM customer GROUP BY c_custkey % 3)) AS n_slices, 3 AS n_files, 2 AS asked, 2 AS used, 100 AS batch FROM customer",
+    "q41": "SELECT event_id, (epoch_us(ts) - epoch_us(date_trunc('year', ts)::TIMESTAMP)) // 1000 AS since, (epoch_us(ts) % 86400000000) // 1000 AS ts FROM events",
+    "q22": """WITH b AS (SELECT r_name, list_transform(string_split(r_name, ''), lambda x: ascii(x)::HUGEINT) AS bytes FROM region),
+s AS (SELECT flatten(list(list_concat(bytes, [0::HUGEINT], list_transform(string_split('String', ''), lambda x: ascii(x)::HUGEINT), [1::HUGEINT, 0::HUGEINT]) ORDER BY r_name)) AS bytes FROM b),
+f AS (SELECT r_name, b.bytes AS own, s.bytes AS whole FROM b, s)
+SELECT r_name, lower(lpad(to_hex(list_reduce(own, lambda h, x: (xor(h, x) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT, 14695981039346656037::HUGEINT)::UBIGINT), 16, '0')) AS checksum,
+    lower(lpad(to_hex(list_reduce(whole, lambda h, x: (xor(h, x) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT, 14695981039346656037::HUGEINT)::UBIGINT), 16, '0')) AS schema_fingerprint FROM f""",
 }
 
 

@@ -5,17 +5,25 @@ from __future__ import annotations
 import csv
 import itertools
 import os
-from functools import reduce
+import re
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
+from typing import NamedTuple
+from urllib.parse import unquote, urlparse
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.types import FormatError, canonical, logical, of_name, resolve, stored
+from ..functions.types import FormatError, canonical, logical, missing, of_name, resolve, stored
+from ..plans.layout import BATCH
 
 FORMATS = ("csv", "parquet", "parquet-dataset", "parquet-manifest")
 ALIASES = {"dataset": "parquet-dataset", "manifest": "parquet-manifest"}
+#: Local files are spelled with one slash or three.
+LOCAL = re.compile("^file:/+")
 BY_SUFFIX = {".csv": "csv", ".parquet": "parquet", ".pq": "parquet", ".manifest": "parquet-manifest"}
 
 
@@ -51,26 +59,58 @@ def dataset_files(path: str, recursive: bool = False) -> list[str]:
     return [str(p) for p in sorted(found) if p.is_file() and not p.name.endswith(".sidecar.parquet")]
 
 
-def parquet_files(spark: SparkSession, files: list[str]) -> DataFrame:
-    """The files' rows in the order given, with file_ordinal and row_index. Schemas must be the same; a file listed twice counts twice."""
-    if not files:
+class Shape(NamedTuple):
+    """What a Parquet file's footer says."""
+
+    path: str
+    rows: int
+    groups: int
+    bytes: int
+    schema: pa.Schema
+
+
+def parquet_shapes(paths: list[str]) -> list[Shape]:
+    """Of each file in the order given; a folder stands for its Parquet files in name order. Schemas must be the same."""
+    if not paths:
         raise ValueError("no Parquet files are given")
-    parts, first = [], None
-    for i, f in enumerate(files):
+
+    def shape(path: str) -> Shape:
         try:
-            df = spark.read.parquet(f)
+            with pq.ParquetFile(path) as f:
+                m = f.metadata
+                return Shape(path, m.num_rows, m.num_row_groups, sum(m.row_group(i).total_byte_size for i in range(m.num_row_groups)), f.schema_arrow)
         except Exception as e:
-            raise FormatError(f"can't read {f}: {e}") from e
-        first = df.schema if first is None else first
-        if df.schema != first:
+            raise FormatError(f"can't read {path}: {e}") from e
+
+    files = [f for p in map(str, paths) for f in (dataset_files(p) if os.path.isdir(p) else [p])]
+    if not files:
+        raise ValueError("no Parquet files are given")
+    with ThreadPoolExecutor(16) as pool:
+        known = dict(zip(dict.fromkeys(files), pool.map(shape, dict.fromkeys(files))))
+    for f in files:
+        if not known[f].schema.equals(known[files[0]].schema):
             raise ValueError(f"the schemas of {files[0]} and {f} differ")
-        resolve(df.schema)
-        parts.append(df.select("*", F.lit(i).alias("file_ordinal"), F.col("_metadata.row_index").alias("_row")))
-    rows = reduce(DataFrame.unionByName, parts)
-    counts = rows.groupBy("file_ordinal").agg((F.max("_row") + 1).alias("_n"))
-    before = Window.orderBy("file_ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("file_ordinal", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return rows.join(starts, "file_ordinal").withColumn("row_index", F.col("_start") + F.col("_row")).drop("_start", "_row")
+    return [known[f] for f in files]
+
+
+def parquet_files(spark: SparkSession, files: list[str], batch: int = BATCH, shapes: list[Shape] | None = None, caps: list[int] | None = None) -> DataFrame:
+    """The files' rows in the order given, with file_ordinal, row_index and slice_id: slices are cut per file, at its cap. A file listed twice counts twice.
+
+    One scan of all files, joined with a table of a row for each listed file.
+    """
+    shapes = shapes or parquet_shapes(files)
+    caps = caps or [batch] * len(shapes)
+    rows = spark.read.parquet(*dict.fromkeys(s.path for s in shapes))
+    resolve(rows.schema)
+    spelled = {os.path.realpath(unquote(urlparse(f).path)): LOCAL.sub("file:/", f) for f in rows.inputFiles()}
+    listed, row, slice_ = [], 0, 0
+    for i, (s, cap) in enumerate(zip(shapes, caps)):
+        listed.append((spelled.get(os.path.realpath(s.path), s.path), i, row, slice_, cap))
+        row, slice_ = row + s.rows, slice_ - (-s.rows // cap)
+    table = spark.createDataFrame(listed, "_path string, file_ordinal int, _row0 bigint, _slice0 bigint, _cap bigint")
+    found = rows.select("*", F.regexp_replace("_metadata.file_path", LOCAL.pattern, "file:/").alias("_path"), F.col("_metadata.row_index").alias("_row")).join(table, "_path")
+    place = {"row_index": F.col("_row0") + F.col("_row"), "slice_id": F.col("_slice0") + F.call_function("div", F.col("_row"), F.col("_cap"))}
+    return found.withColumns(place).drop("_path", "_row", "_row0", "_slice0", "_cap")
 
 
 def _delimiter(d) -> str:
@@ -106,8 +146,6 @@ def infer_csv(path: str, rows: int = 10_000, delimiter: str = ",", header: bool
 
 def infer_values(values: list[str]) -> str | None:
     """The logical type of text values; None if there are none."""
-    import re
-
     tests = (("Boolean", r"(?i:true|false)"), ("LongInteger", r"[+-]?\d+"), ("Real", r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:[+-]?(nan|inf|infinity))"), ("Date", r"\d{4}-\d\d-\d\d"), ("DateTime", r"\d{4}-\d\d-\d\d[T ]\d\d:\d\d(:\d\d(\.\d+)?)?(Z|[+-]\d\d:?\d\d)?"))
     if not values:
         return None
@@ -143,7 +181,13 @@ def read_csv(spark: SparkSession, path: str, types: dict[str, str], delimiter: s
     return reader.csv(path).withColumn("row_index", F.monotonically_increasing_id())
 
 
-def canonical_rows(rows: DataFrame, types: dict[str, str]) -> DataFrame:
-    """row_index and the columns as a table file stores them."""
+def canonical_rows(rows: DataFrame, types: dict[str, str], nan_missing: bool = False) -> DataFrame:
+    """row_index, slice_id where there is one, and the columns as a table file stores them. nan_missing: whether NaN counts as null, as in data frames."""
     kinds = {f.name: f.dataType for f in rows.schema.fields}
-    return rows.select("row_index", *[canonical(F.col(f"`{c}`"), kinds[c], t).cast(stored(t)).alias(c) for c, t in types.items()])
+    index = [c for c in ("slice_id", "row_index") if c in rows.columns and c not in types]
+
+    def cell(c: str):
+        value = F.col(f"`{c}`")
+        return F.when(~missing(value, kinds[c]), value) if nan_missing else value
+
+    return rows.select(*index, *[canonical(cell(c), kinds[c], t).cast(stored(t)).alias(c) for c, t in types.items()])

@@ -1,16 +1,19 @@
 """Sliced table files as a sink and a Spark data source.
 
-Sink: rows are dealt by slice (a slice is the unit of work: at most the batch's rows), each task encodes its slices, and the driver
-appends them in order, one partition in memory at a time, to a file beside the target that then takes the target's name. Source: the driver
+Sink: rows are dealt by blocks of ``BLOCK`` consecutive slices; each task sorts its rows, encodes one slice at a time and writes a fragment a block
+into a folder beside the target, which executors and driver must share. A repeated task replaces its own fragments. The driver gets a row a
+fragment and copies fragments, never rows, in order into a file beside the target that then takes the target's name. Source: the driver
 walks slice headers, tasks decode ranges of slices, reading payloads of wanted columns only.
 """
 
 from __future__ import annotations
 
 import os
+import shutil
 import uuid
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,15 +25,23 @@ from ..plans.layout import BATCH, slice_of
 from . import codec
 
 
+#: Slices of a fragment, and bytes that a source's task reads at least (but for a small file, which is dealt over TASKS).
+BLOCK, TASK_BYTES, TASKS = 16, 4 << 20, 8
+
+
 def publish(target: str, pieces) -> int:
-    """Writes the pieces to a file beside target and moves it there; on any error target is left as it was. Returns its bytes."""
+    """Writes the pieces (bytes, or paths of files to copy) to a file beside target and moves it there; on any error target is left as it was. Returns its bytes."""
     target = os.path.abspath(target)
     os.makedirs(os.path.dirname(target), exist_ok=True)
     partial = f"{target}.{uuid.uuid4().hex}.partial"
     try:
         with open(partial, "wb") as f:
             for p in pieces:
-                f.write(p)
+                if isinstance(p, bytes):
+                    f.write(p)
+                else:
+                    with open(p, "rb") as own:
+                        shutil.copyfileobj(own, f, 1 << 20)
             f.flush()
             os.fsync(f.fileno())
             size = f.tell()
@@ -41,33 +52,66 @@ def publish(target: str, pieces) -> int:
     return size
 
 
-def encoded(rows: DataFrame, types: dict[str, str], batch: int = BATCH, mode: str = "adaptive") -> DataFrame:
-    """rows: row_index and canonical columns. (slice_id, n_rows, data): each slice's bytes."""
-    names, kinds = list(types), list(types.values())
-
-    def encode(t: pa.Table) -> pa.Table:
-        t = t.sort_by("row_index")
-        data = codec.encode_slice(t.select([f"c{i}" for i in range(len(names))]), kinds, mode)
-        return pa.table({"slice_id": [t["slice_id"][0].as_py()], "n_rows": [t.num_rows], "data": pa.array([data], pa.binary())})
-
-    sliced = rows.select(slice_of(F.col("row_index"), batch).alias("slice_id"), "row_index", *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
-    return sliced.groupBy("slice_id").applyInArrow(encode, "slice_id bigint, n_rows bigint, data binary")
-
-
-def write(rows: DataFrame, types: dict[str, str], target: str, batch: int = BATCH, mode: str = "adaptive") -> tuple[int, int, int]:
-    """(rows, slices, bytes) written."""
-    done = [0, 0]
-
-    def pieces():
-        yield codec.preamble(list(types), list(types.values()))
-        for r in encoded(rows, types, batch, mode).orderBy("slice_id").toLocalIterator():
-            done[0] += r.n_rows
-            done[1] += 1
-            yield bytes(r.data)
-        yield codec.END
-
-    size = publish(target, pieces())
-    return done[0], done[1], size
+def fragments(rows: DataFrame, types: dict[str, str], folder: str, mode: str, tasks: int | None = None) -> DataFrame:
+    """rows: slice_id, row_index and canonical columns. Writes fragments into folder; (block, path, n_rows, n_slices) of each. tasks: how many encode at a time."""
+    names, kinds = [f"c{i}" for i in range(len(types))], list(types.values())
+    block = F.call_function("div", F.col("slice_id"), F.lit(BLOCK).cast("bigint"))
+    cells = rows.select(block.alias("block"), "slice_id", "row_index", *[F.col(f"`{c}`").alias(n) for c, n in zip(types, names)])
+    dealt = cells.repartition(tasks, "block") if tasks else cells.repartition("block")
+
+    def write(batches):
+        held, done, f = [], None, None
+
+        def flush():
+            slice_ = pa.Table.from_batches(held).combine_chunks()
+            f.write(codec.encode_slice(slice_.select(names), kinds, mode))
+            done[2], done[3] = done[2] + slice_.num_rows, done[3] + 1
+            held.clear()
+
+        def finish():
+            f.close()
+            os.replace(f.name, done[1])
+            return pa.RecordBatch.from_pylist([dict(zip(("block", "path", "n_rows", "n_slices"), done))], _FRAGMENT)
+
+        for b in batches:
+            ids = b.column("slice_id").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(ids[1:] != ids[:-1]) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(ids)]):
+                own = b.slice(lo, hi - lo)
+                if held and held[-1].column("slice_id")[0].as_py() != ids[lo]:
+                    flush()
+                at = int(ids[lo]) // BLOCK
+                if done is None or done[0] != at:
+                    if done is not None:
+                        yield finish()
+                    path = f"{folder}/{at}.fragment"
+                    f, done = open(f"{path}.{uuid.uuid4().hex}", "wb"), [at, path, 0, 0]
+                held.append(own)
+        if held:
+            flush()
+        if done is not None:
+            yield finish()
+
+    return dealt.sortWithinPartitions("slice_id", "row_index").mapInArrow(write, "block bigint, path string, n_rows bigint, n_slices bigint")
+
+
+_FRAGMENT = pa.schema([("block", pa.int64()), ("path", pa.string()), ("n_rows", pa.int64()), ("n_slices", pa.int64())])
+
+
+def write(rows: DataFrame, types: dict[str, str], target: str, batch: int = BATCH, mode: str = "adaptive", tasks: int | None = None) -> tuple[int, int, int]:
+    """(rows, slices, bytes) written. rows: row_index, canonical columns and perhaps slice_id; without it a slice is batch rows."""
+    if mode not in codec.MODES:
+        raise ValueError(f"encoding must be one of {', '.join(codec.MODES)}")
+    if "slice_id" not in rows.columns or "slice_id" in types:
+        rows = rows.withColumn("slice_id", slice_of(F.col("row_index"), batch))
+    folder = f"{os.path.abspath(target)}.{uuid.uuid4().hex}.fragments"
+    os.makedirs(folder)
+    try:
+        done = sorted(tuple(r) for r in fragments(rows, types, folder, mode, tasks).collect())  # a row for each BLOCK slices
+        size = publish(target, [codec.preamble(list(types), list(types.values())), *(r[1] for r in done), codec.END])
+    finally:
+        shutil.rmtree(folder, ignore_errors=True)
+    return sum(r[2] for r in done), sum(r[3] for r in done), size
 
 
 class _Range(InputPartition):
@@ -81,17 +125,19 @@ class _Slices(DataSourceReader):
         self.path = options["path"]
         self.columns = [c for c in options.get("columns", "").split(",") if c] or None
         self.index = options.get("rowindex", "false").lower() == "true"
-        self.per_task = int(options.get("slicespertask", "64"))
+        self.per_task = int(options.get("slicespertask", "0"))
 
     def partitions(self):
-        out, rows = [], 0
+        out, rows, size = [], 0, 0
         with open(self.path, "rb") as f:
             table = codec.read_table(f)
-            for i, (at, _, batch) in enumerate(codec.slices(f, table, [table.names[0]] if table.names else None)):
-                if i % self.per_task == 0:
+            enough = max(1 << 16, min(TASK_BYTES, os.fstat(f.fileno()).st_size // TASKS))
+            for at, length, n in codec.slice_spans(f, table):
+                if not out or (out[-1].count >= self.per_task if self.per_task else size >= enough):
                     out.append(_Range(at, 0, rows))
+                    size = 0
                 out[-1].count += 1
-                rows += batch.num_rows
+                rows, size = rows + n, size + length
         return out or [_Range(table.first, 0, 0)]
 
     def read(self, part):
@@ -102,7 +148,7 @@ class _Slices(DataSourceReader):
             for _ in range(part.count):
                 batch = codec.read_slice(f, table, self.columns)
                 if self.index:
-                    batch = batch.append_column("row_index", pa.array(range(row, row + batch.num_rows), pa.int64()))
+                    batch = batch.append_column("row_index", pa.array(np.arange(row, row + batch.num_rows)))
                 row += batch.num_rows
                 yield batch
 

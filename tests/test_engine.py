@@ -122,9 +122,26 @@ def test_parquet_inputs(spark, tmp_path):
 
 def test_capped_slices(spark, tmp_path):
     pq.write_table(pa.table({"id": range(4), "p": ["x" * 10] * 4}), tmp_path / "a.parquet")
-    rows = files.parquet_files(spark, [str(tmp_path / "a.parquet")] * 2)
-    got = api._capped(rows, [(4, 1, 0), (4, 1, 0)], [3, 2], 5).orderBy("file_ordinal", "id")
-    assert [r.row_index // 5 for r in got.collect()] == [0, 0, 0, 1, 2, 2, 3, 3]
+    rows = files.parquet_files(spark, [str(tmp_path / "a.parquet")] * 2, caps=[3, 2])
+    got = rows.orderBy("file_ordinal", "id").collect()
+    assert [r.slice_id for r in got] == [0, 0, 0, 1, 2, 2, 3, 3] and [r.row_index for r in got] == list(range(8))
+
+
+@pytest.mark.parametrize("batch, slices", [(5000, 2), (3, 4)])
+def test_slices_end_with_their_file(spark, tmp_path, batch, slices):
+    for name in "ab":
+        pq.write_table(pa.table({"id": range(4), "p": [name] * 4}), tmp_path / f"{name}.parquet")
+    for workers in (None, 1, 2):
+        r = api.convert_with_result(tmp_path, tmp_path / "o.sbdf", input_format="parquet-dataset", batch_size=batch, workers=workers, spark=spark)
+        assert (r.row_count, r.slice_count) == (8, slices)
+    with pytest.raises(ValueError):
+        api.parquet_files_to_sbdf([tmp_path / "a.parquet"], tmp_path / "a.parquet", spark=spark)
+    with pytest.raises(ValueError):
+        api.parquet_files_to_sbdf([tmp_path / "a.parquet"], tmp_path / "x.sbdf", workers=9, spark=spark)
+
+
+def test_no_command(capsys):
+    assert cli.main([]) == 2
 
 
 def test_formats(tmp_path):
