@@ -148,7 +148,10 @@ def _open_windows(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     shared = with_totals(blocks, ["key"], ["id", "at"], _h=("min", "h1"), _g=("max", "h1"), _lo=("min", "id"), _hi=("max", "id"))
     open_ = shared.where("_h < _g AND _lo < _hi").groupBy("id", "t").agg(F.collect_set(F.struct("at", "len")).alias("open"))
     windows = rows.repartition("id", "t").join(open_, ["id", "t"]).select("id", "t", "text", "open").mapInArrow(_windows, "h1 bigint, h2 int, id bigint, t bigint, at int")
-    return with_totals(windows, ["h1", "h2"], ["id", "at"], ref=("min", "struct(id, at)")).where("ref.id < id").select("id", "t", "at", F.lit(1).alias("len"), "ref")
+    # nearly all of these are in one document only: shuffled once, they are counted and met where they lie
+    dealt = windows.repartition("h1", "h2")
+    shared = dealt.groupBy("h1", "h2").agg(F.min(F.struct("id", "at")).alias("ref"), F.max("id").alias("_hi")).where("ref.id < _hi").drop("_hi")
+    return dealt.join(shared, ["h1", "h2"]).where("ref.id < id").select("id", "t", "at", F.lit(1).alias("len"), "ref")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", with_text: bool = False) -> DataFrame:
@@ -159,8 +162,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", with_text: bool = False
     long = slim.where(F.col("id").isNotNull() & (F.col("n") >= WINDOW)).withColumn("d", F.xxhash64("sha"))
     copies = stored(with_totals(long.select("id", "t", "sha"), ["sha"], ["id", "t"], least=("min", "id")).where("least < id").select("id", "t").distinct())
     # anchors that different documents hold
-    held = long.select("d", F.explode(F.array_distinct("blocks.key")).alias("key")).groupBy("key").agg(F.min("d").alias("_lo"), F.max("d").alias("_hi"))
-    blocks = long.select("id", "t", F.inline("blocks")).join(held.where("_lo < _hi").select("key"), "key", "left_semi").join(copies, ["id", "t"], "left_anti")
+    own = long.join(copies, ["id", "t"], "left_anti")
+    held = own.select("d", F.explode(F.array_distinct("blocks.key")).alias("key")).groupBy("key").agg(F.min("d").alias("_lo"), F.max("d").alias("_hi"))
+    blocks = own.select("id", "t", F.inline("blocks")).join(held.where("_lo < _hi").select("key"), "key", "left_semi")
     met = stored(with_totals(blocks, ["h1", "h2"], ["id", "at"], ref=("min", "struct(id, at)")))
     later = met.where("ref.id < id").select("id", "t", "at", "len", "ref").unionByName(_open_windows(rows, met.where("ref.id = id").drop("ref")))
     entry = F.struct("at", "len", F.col("ref.id").alias("ref"), F.col("ref.at").alias("ref_at"))
