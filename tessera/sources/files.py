@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions.types import FormatError, canonical, logical, missing, of_name, resolve, stored
 from ..plans.layout import BATCH
+from . import spans
 
 FORMATS = ("csv", "parquet", "parquet-dataset", "parquet-manifest")
 ALIASES = {"dataset": "parquet-dataset", "manifest": "parquet-manifest"}
@@ -171,14 +172,18 @@ def csv_types(inferred: dict[str, str | None], overrides: dict[str, str] | None
 _CSV_KIND = {"Boolean": T.BooleanType(), "Integer": T.IntegerType(), "LongInteger": T.LongType(), "SingleReal": T.FloatType(), "Real": T.DoubleType(), "Date": T.DateType(), "DateTime": T.TimestampNTZType(), "String": T.StringType()}
 
 
-def read_csv(spark: SparkSession, path: str, types: dict[str, str], delimiter: str = ",", header: bool = True) -> DataFrame:
-    """CSV rows under a fixed schema; a bad field, or a wrong number of fields, is an error; an empty field is null.
+def read_csv(spark: SparkSession, path: str, types: dict[str, str], delimiter: str = ",", header: bool = True, piece: int | None = None) -> DataFrame:
+    """CSV rows under a fixed schema; a bad field, or a wrong number of fields, is an error; an empty field is null. row_index is the file's order.
 
-    Quoted line breaks need the multi-line reader, so a file is one task; row_index is its order.
+    A file is read in pieces of some bytes (by default as many as the session's cores share); one that can't be cut into whole records, or a folder, by
+    the multi-line reader, a task a file.
     """
     schema = T.StructType([T.StructField(c, _CSV_KIND[t]) for c, t in types.items()])
-    reader = spark.read.schema(schema).option("header", header).option("sep", _delimiter(delimiter)).option("escape", '"').option("multiLine", True).option("mode", "FAILFAST").option("enforceSchema", False)
-    return reader.csv(path).withColumn("row_index", F.monotonically_increasing_id())
+    options = {"sep": _delimiter(delimiter), "escape": '"', "multiLine": "true", "mode": "FAILFAST"}
+    if os.path.isfile(path) and (cut := spans.pieces(spark, path, options["sep"], piece)):
+        return spans.read(spark, path, cut, schema, options, header)
+    rows = spark.read.schema(schema).options(header=header, enforceSchema=False, **options).csv(path)
+    return rows.withColumn("row_index", F.monotonically_increasing_id())
 
 
 def canonical_rows(rows: DataFrame, types: dict[str, str], nan_missing: bool = False) -> DataFrame:
