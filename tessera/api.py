@@ -73,10 +73,10 @@ def _checked(target: str, paths: list[str], batch_size, column_types, encoding_r
     return _Encoding(batch_size, column_types, _mode(encoding_rle, adaptive_encoding), keys, sidecar_path, table_id)
 
 
-def _written(rows: DataFrame, types: dict[str, str], target: str, how: _Encoding, tasks: int | None) -> tuple[int, int]:
+def _written(rows: DataFrame, types: dict[str, str], target: str, how: _Encoding, tasks: int | None, most: int | None = None) -> tuple[int, int]:
     """(rows, slices) of the table file that is now there."""
     try:
-        n, slices, _ = sbdf.write(files.canonical_rows(rows, types), types, target, how.batch, how.mode, tasks)
+        n, slices, _ = sbdf.write(files.canonical_rows(rows, types), types, target, how.batch, how.mode, tasks, most)
     except (ValueError, TypeError, FormatError):
         raise
     except Exception as e:
@@ -126,7 +126,7 @@ def convert_with_result(
         return _from_parquet(spark, paths, target, how, workers, adaptive_workers)
     types = files.csv_types(files.infer_csv(source, infer_schema_rows, files._delimiter(delimiter), has_header), column_types)
     rows = files.read_csv(spark or session(), source, types, delimiter, has_header)
-    n, slices = _written(rows, types, target, how, None if workers is None else asked)
+    n, slices = _written(rows, types, target, how, None if workers is None else asked, policy.BATCH_BYTES)
     return ConversionResult(Path(target), tuple(map(Path, paths)), asked, asked, batch_size, (batch_size,), n, slices, _index(target, row_key_columns, sidecar_path, table_id))
 
 

@@ -375,8 +375,19 @@ def q41(spark, d):
     return e.select(*[canonical(F.col(c), kinds[c], t).cast(stored(t)).alias(c) for c, t in types.items()])
 
 
+#: Bytes of values at which q42's slices end.
+Q42_BYTES = 20_000
+
+
+def q42(spark, d):
+    """Rows of slices that end early by their bytes."""
+    rows, types, target = layout.read_indexed(spark, _p(d, "events")).select("row_index", "event_id", "props"), {"event_id": "LongInteger", "props": "String"}, f"{_shared(spark)}/bytes.sbdf"
+    sbdf.write(files.canonical_rows(rows, types), types, target, 1700, most=Q42_BYTES)
+    return _spans(spark, target).select("slice_id", "n_rows")
+
+
 def queries() -> dict:
-    names = "scan_parquet_typed type_catalog datetime_to_ms date_to_ms time_to_ms timespan_to_ms null_bitmap slice_plan rle_runs adaptive_choice slice_layout sidecar_coordinates sidecar_lookup ordered_concat cast_overrides name_rules csv_roundtrip sbdf_roundtrip worker_policy batch_cap bool_parse fnv1a_checksum varint_size bit_pack manifest_parse dataset_listing csv_infer_sample convert_csv convert_wide_csv slices_per_file convert_dataset convert_manifest nulls_roundtrip encodings_by_column sidecar_file pandas_frame spark_frame batch_writer before_1970 conversion_result spans_and_times".split()
+    names = "scan_parquet_typed type_catalog datetime_to_ms date_to_ms time_to_ms timespan_to_ms null_bitmap slice_plan rle_runs adaptive_choice slice_layout sidecar_coordinates sidecar_lookup ordered_concat cast_overrides name_rules csv_roundtrip sbdf_roundtrip worker_policy batch_cap bool_parse fnv1a_checksum varint_size bit_pack manifest_parse dataset_listing csv_infer_sample convert_csv convert_wide_csv slices_per_file convert_dataset convert_manifest nulls_roundtrip encodings_by_column sidecar_file pandas_frame spark_frame batch_writer before_1970 conversion_result spans_and_times slices_by_bytes".split()
     return {f"q{i:02d}_{n}": globals()[f"q{i:02d}"] for i, n in enumerate(names, 1)}
 
 
@@ -473,6 +484,12 @@ SELECT event_type, ts, 't' AS __sbdf_table_id, 'e.sbdf' AS __sbdf_file, s AS __s
     "q39": f"SELECT event_id, trunc(epoch_us(ts - INTERVAL 80 YEARS) / 1000.0)::BIGINT + {EPOCH} AS ms, floor(epoch_us(ts - INTERVAL 80 YEARS) / 1000.0)::BIGINT + {EPOCH} AS floor_ms FROM events",
     "q40": "SELECT count(*) AS n_rows, (SELECT sum((k + 99) // 100)::BIGINT FROM (SELECT count(*) AS k FROM customer GROUP BY c_custkey % 3)) AS n_slices, 3 AS n_files, 2 AS asked, 2 AS used, 100 AS batch FROM customer",
     "q41": "SELECT event_id, (epoch_us(ts) - epoch_us(date_trunc('year', ts)::TIMESTAMP)) // 1000 AS since, (epoch_us(ts) % 86400000000) // 1000 AS ts FROM events",
+    "q42": f"""WITH RECURSIVE e AS (SELECT {ROWS} AS i, 10 + COALESCE(strlen(props), 0) AS b FROM events),
+s AS (SELECT i, i // 1700 AS k, sum(b) OVER (PARTITION BY i // 1700 ORDER BY i)::BIGINT AS t FROM e),
+c(k, i, t) AS (SELECT k, min(i) - 1, 0::BIGINT FROM s GROUP BY k UNION ALL SELECT c.k, min(s.i), min(s.t) FROM c JOIN s ON s.k = c.k AND s.t >= c.t + {Q42_BYTES} GROUP BY c.k),
+ends AS (SELECT k, i FROM c UNION SELECT k, max(i) FROM s GROUP BY k),
+n AS (SELECT i, i - lag(i) OVER (PARTITION BY k ORDER BY i) AS n_rows FROM ends)
+SELECT row_number() OVER (ORDER BY i) - 1 AS slice_id, n_rows FROM n WHERE n_rows > 0""",
     "q22": """WITH b AS (SELECT r_name, list_transform(string_split(r_name, ''), lambda x: ascii(x)::HUGEINT) AS bytes FROM region),
 s AS (SELECT flatten(list(list_concat(bytes, [0::HUGEINT], list_transform(string_split('String', ''), lambda x: ascii(x)::HUGEINT), [1::HUGEINT, 0::HUGEINT]) ORDER BY r_name)) AS bytes FROM b),
 f AS (SELECT r_name, b.bytes AS own, s.bytes AS whole FROM b, s)

@@ -52,17 +52,31 @@ def publish(target: str, pieces) -> int:
     return size
 
 
-def fragments(rows: DataFrame, types: dict[str, str], folder: str, mode: str, tasks: int | None = None) -> DataFrame:
-    """rows: slice_id, row_index and canonical columns. Writes fragments into folder; (block, path, n_rows, n_slices) of each. tasks: how many encode at a time."""
+def cuts_by_bytes(sizes: np.ndarray, held: int, most: int) -> list[int]:
+    """After which of the rows (how many lead up to it) a slice ends, each with the row whose bytes bring it to most. held: bytes the slice has before these rows."""
+    total, out, goal = np.cumsum(sizes), [], most - held
+    while (at := int(np.searchsorted(total, goal))) < len(total):
+        out.append(at + 1)
+        goal = int(total[at]) + most
+    return out
+
+
+def fragments(rows: DataFrame, types: dict[str, str], folder: str, mode: str, tasks: int | None = None, most: int | None = None) -> DataFrame:
+    """rows: slice_id, row_index and canonical columns. Writes fragments into folder; (block, path, n_rows, n_slices) of each. tasks: how many encode at a time.
+
+    most: bytes of values at which a slice ends early. The rows of one slice_id then make several slices; a task holds no more than one of them.
+    """
     names, kinds = [f"c{i}" for i in range(len(types))], list(types.values())
     block = F.call_function("div", F.col("slice_id"), F.lit(BLOCK).cast("bigint"))
     cells = rows.select(block.alias("block"), "slice_id", "row_index", *[F.col(f"`{c}`").alias(n) for c, n in zip(types, names)])
     dealt = cells.repartition(tasks, "block") if tasks else cells.repartition("block")
 
     def write(batches):
-        held, done, f = [], None, None
+        held, size, done, f = [], 0, None, None
 
         def flush():
+            nonlocal size
+            size = 0
             slice_ = pa.Table.from_batches(held).combine_chunks()
             f.write(codec.encode_slice(slice_.select(names), kinds, mode))
             done[2], done[3] = done[2] + slice_.num_rows, done[3] + 1
@@ -86,7 +100,15 @@ def fragments(rows: DataFrame, types: dict[str, str], folder: str, mode: str, ta
                         yield finish()
                     path = f"{folder}/{at}.fragment"
                     f, done = open(f"{path}.{uuid.uuid4().hex}", "wb"), [at, path, 0, 0]
-                held.append(own)
+                if most:
+                    sizes, start = codec.decoded_bytes(own.select(names), kinds), 0
+                    for stop in cuts_by_bytes(sizes, size, most):
+                        held.append(own.slice(start, stop - start))
+                        flush()
+                        start = stop
+                    own, size = own.slice(start), size + int(sizes[start:].sum())
+                if own.num_rows:
+                    held.append(own)
         if held:
             flush()
         if done is not None:
@@ -98,8 +120,8 @@ def fragments(rows: DataFrame, types: dict[str, str], folder: str, mode: str, ta
 _FRAGMENT = pa.schema([("block", pa.int64()), ("path", pa.string()), ("n_rows", pa.int64()), ("n_slices", pa.int64())])
 
 
-def write(rows: DataFrame, types: dict[str, str], target: str, batch: int = BATCH, mode: str = "adaptive", tasks: int | None = None) -> tuple[int, int, int]:
-    """(rows, slices, bytes) written. rows: row_index, canonical columns and perhaps slice_id; without it a slice is batch rows."""
+def write(rows: DataFrame, types: dict[str, str], target: str, batch: int = BATCH, mode: str = "adaptive", tasks: int | None = None, most: int | None = None) -> tuple[int, int, int]:
+    """(rows, slices, bytes) written. rows: row_index, canonical columns and perhaps slice_id; without it a slice is batch rows. most: as for fragments."""
     if mode not in codec.MODES:
         raise ValueError(f"encoding must be one of {', '.join(codec.MODES)}")
     if "slice_id" not in rows.columns or "slice_id" in types:
@@ -107,7 +129,7 @@ def write(rows: DataFrame, types: dict[str, str], target: str, batch: int = BATC
     folder = f"{os.path.abspath(target)}.{uuid.uuid4().hex}.fragments"
     os.makedirs(folder)
     try:
-        done = sorted(tuple(r) for r in fragments(rows, types, folder, mode, tasks).collect())  # a row for each BLOCK slices
+        done = sorted(tuple(r) for r in fragments(rows, types, folder, mode, tasks, most).collect())  # a row for each BLOCK slices
         size = publish(target, [codec.preamble(list(types), list(types.values())), *(r[1] for r in done), codec.END])
     finally:
         shutil.rmtree(folder, ignore_errors=True)

@@ -69,6 +69,33 @@ def test_layout_is_the_file(spark, tmp_path, small_dir):
         assert found == [(p.byte_offset, p.byte_length) for p in plan]
 
 
+@pytest.mark.parametrize("most", [1, 60, 61, 400, 10**9])
+def test_slices_end_by_bytes(spark, tmp_path, most):
+    kinds, batch = {"id": "LongInteger", "text": "String"}, 7
+    values = [(i, None if i % 5 == 3 else "é" * (i * 13 % 29) + "x" * (300 * (i == 11))) for i in range(40)]
+    rows = spark.createDataFrame([(i, *v) for i, v in enumerate(values)], "row_index bigint, id bigint, text string").repartition(3)
+    n, slices, _ = sbdf.write(rows, kinds, str(tmp_path / "o.sbdf"), batch, most=most)
+    want, size = [[]], 0
+    for i, (key, text) in enumerate(values):
+        if want[-1] and (size >= most or i % batch == 0):
+            want.append([])
+            size = 0
+        want[-1].append((key, text))
+        size += 8 + 1 + len((text or "").encode()) + 1
+    _, got = contents(tmp_path / "o.sbdf")
+    assert [list(zip(b["id"].to_pylist(), b["text"].to_pylist())) for b in got] == want
+    assert (n, slices) == (40, len(want))
+
+
+def test_csv_slices_end_by_bytes(spark, tmp_path, monkeypatch):
+    src = tmp_path / "in.csv"
+    src.write_text("id,text\n" + "".join(f"{i},{'y' * 50}\n" for i in range(10)))
+    monkeypatch.setattr(api.policy, "BATCH_BYTES", 120)
+    r = api.convert_with_result(src, tmp_path / "o.sbdf", row_key_columns=["id"], spark=spark)
+    assert (r.row_count, r.slice_count) == (10, 5)
+    assert pq.read_table(r.sidecar_path).column("__sbdf_slice_id").to_pylist() == [i // 2 for i in range(10)]
+
+
 def test_csv(spark, tmp_path):
     src = tmp_path / "in.csv"
     src.write_text('wafer_id,event_time,flag,value,text,date\n1,1970-01-01T00:00:01,true,1.5,"first\nsecond",2024-01-02\n2,1970-01-01T00:00:02,FALSE,,"say ""hi""",\n3,1970-01-01T00:00:03,True,2,,2024-01-03\n')
