@@ -7,10 +7,12 @@ import os
 from dataclasses import dataclass
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.types import FormatError, logical, of_dtype, of_name, resolve
+from .functions.types import EPOCH_MS, FormatError, logical, of_dtype, of_name, resolve
 from .operators import sidecar
 from .plans import policy
 from .plans.layout import BATCH
@@ -199,7 +201,7 @@ def _numbered(df: DataFrame) -> DataFrame:
 
 
 def _frame(df, target: str, overrides: dict[str, str], rle: bool, adaptive: bool) -> None:
-    from .streaming.writer import StreamingWriter, _missing, infer_value
+    from .streaming.writer import StreamingWriter, _missing, infer_value, stored_array
 
     if not all(hasattr(df, x) for x in ("columns", "dtypes")) or not (hasattr(df, "to_dict") or hasattr(df, "to_pylist")):
         raise TypeError("a data frame needs columns, dtypes and to_dict")
@@ -209,26 +211,62 @@ def _frame(df, target: str, overrides: dict[str, str], rle: bool, adaptive: bool
     if unknown := [c for c in overrides if c not in names]:
         raise ValueError(f"types are given for columns that aren't there: {', '.join(unknown)}")
     dtypes = dict(zip(names, map(str, df.dtypes)))
-    data = df.to_dict(as_series=False) if type(df).__module__.startswith("polars") else {str(k): v for k, v in df.to_dict("list").items()}
+    pandas = type(df).__module__.startswith("pandas")
+    if type(df).__module__.startswith("polars"):
+        data = df.to_dict(as_series=False)
+    else:
+        data = {} if pandas else {str(k): v for k, v in df.to_dict("list").items()}
+
+    def values(c: str) -> list:
+        if c not in data:
+            data[c] = next(iter(df.iloc[:, [names.index(c)]].to_dict("list").values()))
+        return data[c]
+
     types = {}
     for c in names:
-        known = next((v for v in data[c] if not _missing(v)), None)
         if c in overrides:
             types[c] = logical(overrides[c]).name
         elif of_name(c):
             types[c] = of_name(c)
-        elif dtypes[c] == "object" and known is not None:
+        elif dtypes[c] == "object" and (known := next((v for v in values(c) if not _missing(v)), None)) is not None:
             types[c] = infer_value(known)
         else:
             types[c] = of_dtype(dtypes[c])
-    coerced = {c: [None if _missing(v) else coerce(v, types[c]) for v in data[c]] for c in names}
+
+    def stored(at: int, c: str) -> pa.Array:
+        whole = _whole(df.iloc[:, at], types[c]) if pandas else None
+        return stored_array(c, [None if _missing(v) else coerce(v, types[c]) for v in values(c)], types[c]) if whole is None else whole
+
+    arrays = [stored(i, c) for i, c in enumerate(names)]
     with StreamingWriter(target, names, types, rle, adaptive) as w:
-        if names and len(coerced[names[0]]):
-            w.write_batch(coerced)
-        else:
-            w.kinds = [types[c] for c in names]
-            w.file = open(w.partial, "wb")
-            w.file.write(sbdf.codec.preamble(names, w.kinds))
+        w.open([types[c] for c in names])
+        if arrays and len(arrays[0]):
+            w.write_arrays(arrays)
+
+
+#: Types whose values a pandas column of some dtype kind and width already holds as they are stored.
+_AS_STORED = {("b", 1): "Boolean", ("i", 4): "Integer", ("i", 8): "LongInteger", ("f", 4): "SingleReal", ("f", 8): "Real"}
+
+
+def _whole(column, name: str) -> pa.Array | None:
+    """A pandas column as stored, if its dtype is its type's own; else None."""
+    kind, width = getattr(column.dtype, "kind", ""), getattr(column.dtype, "itemsize", 0)
+    if isinstance(column.dtype, np.dtype) and _AS_STORED.get((kind, width)) == name:
+        return pa.array(column.to_numpy(), sbdf.codec.arrow_type(name), from_pandas=True)
+    if isinstance(column.dtype, np.dtype) and kind == "M" and name == "DateTime":
+        unit, count = np.datetime_data(column.dtype)
+        per_ms = {"ns": 1_000_000, "us": 1000, "ms": 1}.get(unit)
+        if per_ms and count == 1:
+            at = column.to_numpy()
+            return pa.array(at.view(np.int64) // per_ms + EPOCH_MS, mask=np.isnat(at))
+    if name == "String":
+        try:
+            text = pa.array(column, from_pandas=True)
+        except (pa.ArrowInvalid, pa.ArrowTypeError):
+            return None
+        if not isinstance(text, pa.ChunkedArray) and (pa.types.is_string(text.type) or pa.types.is_large_string(text.type)):
+            return text.cast(pa.string())
+    return None
 
 
 def _boolean(v) -> bool:

@@ -1,6 +1,7 @@
 import datetime as dt
 import os
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -185,6 +186,32 @@ def test_read_back(spark, tmp_path):
     assert [(r.b, r.row_index) for r in got.orderBy("row_index").collect()] == [(None if i % 3 == 0 else str(i), i) for i in range(12)]
 
 
+FRAMES = {
+    "numbers": lambda: pd.DataFrame({"i4": np.array([1, -2, 3], "i4"), "i8": [1 << 40, 0, -1], "u1": np.array([1, 2, 255], "u1"), "f4": np.array([0.1, np.nan, np.inf], "f4"), "f8": [np.nan, -0.0, 0.0], "b": [True, False, True]}),
+    "moments": lambda: pd.DataFrame({"ns": pd.to_datetime(["1969-12-31T23:59:59.999999999", None, "2024-01-02T03:04:05.678901"]), "s": np.array(["1960-01-01", "NaT", "2000-02-29"], "M8[s]"), "us": np.array(["1950-01-01T00:00:00.000001", "2020-01-01", "NaT"], "M8[us]"), "utc": pd.to_datetime(["2024-01-01", None, "1960-01-01"], utc=True), "d": pd.to_timedelta([1, None, -1], unit="ms")}),
+    "texts": lambda: pd.DataFrame({"plain": ["é", "", None], "nan": ["x", np.nan, "y"], "none": [None, None, None], "kind": pd.Categorical(["a", "b", "a"]), "typed": pd.array(["x", pd.NA, ""], "string"), "binary": [b"x", None, b""]}),
+    "mixed": lambda: pd.DataFrame({"text": ["a", 1, b"z"], "numbers": pd.Series([1, None, np.int64(3)], dtype="object"), "nullable": pd.array([1, pd.NA, 3], "Int64"), "flags": pd.array([True, pd.NA, False], "boolean"), "wafer_id": [1.0, 2.0, np.nan]}),
+    "overridden": lambda: pd.DataFrame({"text": [1, 2, 3], "real": [1, 2, 3], "whole": [1.0, np.nan, 3.0]}),
+    "none": lambda: pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="object")}),
+}
+
+
+@pytest.mark.parametrize("name", FRAMES)
+def test_whole_columns_are_as_their_values(tmp_path, monkeypatch, name):
+    types = {"text": "String", "real": "Real", "whole": "LongInteger"} if name == "overridden" else None
+    for mode in ({}, {"encoding_rle": False}, {"adaptive_encoding": True}):
+        files = []
+        for way in ("whole", "values"):
+            with monkeypatch.context() as m:
+                if way == "values":
+                    m.setattr(api, "_whole", lambda column, kind: None)
+                try:
+                    files.append(api.dataframe_to_sbdf(FRAMES[name](), tmp_path / f"{way}.sbdf", column_types=types, **mode).read_bytes())
+                except (ValueError, TypeError) as e:
+                    files.append(f"{type(e).__name__}: {e}")
+        assert files[0] == files[1] and isinstance(files[0], bytes)
+
+
 def test_pandas(tmp_path):
     df = pd.DataFrame({"n": [1, 2], "f": [1.5, float("nan")], "when": pd.to_datetime(["1970-01-01", None]), "o": [dt.date(1970, 1, 1), None], "s": ["a", None]})
     table, got = contents(api.to_sbdf(df, tmp_path / "p.sbdf"))
