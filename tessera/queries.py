@@ -211,9 +211,9 @@ def q26(spark, d):
 
 
 def _csv(spark, d, name: str, columns: dict[str, str] | None = None, end: str = "\n") -> str:
-    """A table as one CSV file, quoted as usual; columns: name -> SQL. end closes lines."""
+    """A table as one CSV file, in the table's order (a scan deals files by size), quoted as usual; columns: name -> SQL. end closes lines."""
     path = f"{_shared(spark)}/{name}.csv"
-    df = spark.read.parquet(_p(d, name))
+    df = layout.read_indexed(spark, _p(d, name)).orderBy("row_index").drop("row_index")
     df = df.selectExpr(*[f"{v} AS {k}" for k, v in columns.items()]) if columns else df
     with open(path, "w", newline="", encoding="utf-8") as f:
         out = csv.writer(f, lineterminator=end)

@@ -25,6 +25,16 @@ def test_query(spark, small_dir, name):
     assert differences(own.queries()[name](spark, small_dir), SQL[name], small_dir) == ""
 
 
+def test_csv_of_a_table_of_several_files(spark, small_dir, tmp_path):
+    """Rows stand in the order of the files' names, though the later file is the larger one."""
+    docs = pq.read_table(f"{small_dir}/documents.parquet")
+    (tmp_path / "documents.parquet").mkdir()
+    pq.write_table(docs.slice(0, 20), tmp_path / "documents.parquet" / "part-0.parquet")
+    pq.write_table(docs.slice(20), tmp_path / "documents.parquet" / "part-1.parquet")
+    name = "q28_convert_csv"
+    assert differences(own.queries()[name](spark, str(tmp_path)), SQL[name], str(tmp_path)) == ""
+
+
 def test_checksum():
     assert types.fnv1a(b"") == 0xCBF29CE484222325 and types.fnv1a(b"a") == 0xAF63DC4C8601EC8C
 
