@@ -1,9 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval, confirmed by common subsequences and answers.
 
 1. Document frequencies of the benchmark's words are counted over all documents.
-2. A sample of ``FIT_DOCS`` documents (the ids that hash lowest; a parameter) and the items give TF-IDF passages A. A randomised
-   SVD finds ``RANK`` latent directions: tasks multiply their passages into ``A'(A W)`` and return one bounded matrix per
-   partition; after a few power rounds its orthonormal basis spans the space. Only the basis is fitted on the sample; all documents are searched.
+2. The passages of all documents and of the items, by TF-IDF, are A. A randomised SVD finds ``RANK`` latent directions: tasks multiply their
+   passages into ``A'(A W)``, a bounded matrix each, which are added up by slices of its rows; after a few power rounds its orthonormal basis
+   spans the space. A round reads all documents.
 3. Each whole document is cut into passages of ``PASSAGE`` words, one every ``STRIDE``; a passage within ``LEAST_COSINE`` of an item in latent
    space is a candidate. Cosines are against the passage's whole length, words outside the benchmark included. Items of two passages or more
    are cut too, and any passage of theirs makes a candidate. Items that needn't hold a whole passage also meet shorter ones (``WINDOWS``), so that
@@ -25,6 +25,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,14 +33,16 @@ from .arrowwords import Words, chunks
 from .common import durable, packed
 from .licenses import BETWEEN
 
-RANK, EXTRA, POWER, FIT_DOCS, FIT_PARTS = 256, 16, 1, 1000, 8
+RANK, EXTRA, POWER = 256, 16, 1
 STRIDE, BLOCKS = 16, 3
 PASSAGE = STRIDE * BLOCKS
 #: (stride, blocks) of document passages. One lies wholly in any run of stride * (blocks + 1) - 1 words, so none but the item's words are in it.
 WINDOWS = ((STRIDE, BLOCKS), (8, 3), (4, 3), (1, 6), (1, 3), (1, 1))
 LEAST_COSINE, LEAST_LCS, LEAST_ANSWER, ITEM_BLOCK = 0.25, 0.7, 0.5, 256
-#: Energy of the items in the fit, as a multiple of the sample's; passages multiplied at a time.
+#: Energy of the items in the fit, as a multiple of the documents'; passages multiplied at a time.
 ITEM_ENERGY, AT_ONCE = 4, 256
+#: Cells of A multiplied at a time; rows of a slice of the tasks' matrices; tasks of a round of the fit for each core, as each returns a matrix.
+CELLS, SLICE, TASKS = 1024, 256, 2
 #: Passages whose vectors are held at a time.
 SLAB = 8192
 SEED = 7
@@ -141,29 +144,58 @@ def idf(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
     return np.append(out, np.median(out)).astype(np.float32)
 
 
+def _add(into: np.ndarray, row: np.ndarray, value: np.ndarray, source: np.ndarray, at: np.ndarray) -> None:
+    """into[row] += value * source[at]; row is sorted."""
+    for lo in range(0, len(row), CELLS):
+        own = row[lo : lo + CELLS]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        into[own[first]] += np.add.reduceat(value[lo : lo + CELLS, None] * source[at[lo : lo + CELLS]], first, axis=0)
+
+
 def _round(texts: pa.Array, basis: np.ndarray, weight: np.ndarray, vocabulary: np.ndarray, into: np.ndarray) -> int:
     """Adds A'(A basis) of the texts' passages (one every PASSAGE words, each of unit length) to into. Returns how many there were."""
-    p, v = Passages(Texts(texts, vocabulary)), len(vocabulary)
-    inner = np.flatnonzero((p.starts - p.first[p.text]) % PASSAGE == 0)
-    for lo in range(0, len(inner), AT_ONCE):
-        lead = inner[lo : lo + AT_ONCE]
-        a = np.zeros((len(lead), v + 2), np.float32)
-        for ahead in range(BLOCKS):
-            has = np.flatnonzero(p.after[lead] >= ahead)
-            np.add.at(a, (has[:, None], p.places(lead[has] + ahead)), 1)
-        a = a[:, :v] * weight[:v]
-        a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-9)
-        into += a.T @ (a @ basis)
-    return len(inner)
-
-
-def latent(sample: DataFrame, items: Items, texts: list[str], weight: np.ndarray) -> np.ndarray:
-    """Orthonormal directions, a row for each word of the vocabulary. sample has FIT_PARTS partitions, each returning one matrix of the block's size."""
+    t, v = Texts(texts, vocabulary), len(vocabulary)
+    n = np.diff(t.first)
+    per = -(-n // PASSAGE)
+    passage = np.repeat(np.cumsum(per) - per, n) + (np.arange(len(t.words)) - np.repeat(t.first[:-1], n)) // PASSAGE
+    known = t.at[:-1] < v
+    cells, count = np.unique(passage[known] * v + t.at[:-1][known], return_counts=True)
+    passage, place = cells // v, cells % v
+    value = count * weight[place].astype(float)
+    value = (value / np.maximum(np.sqrt(np.bincount(passage, value**2))[passage], 1e-9)).astype(np.float32) if len(cells) else np.zeros(0, np.float32)
+    product = np.zeros((int(per.sum()), basis.shape[1]), np.float32)
+    _add(product, passage, value, basis, place)
+    order = np.argsort(place, kind="stable")
+    _add(into, place[order], value[order], product, passage[order])
+    return len(product)
+
+
+def _sum(batches):
+    """The sums of the tasks' slices, which come in order."""
+    last, n, total = None, 0, None
+    for b in batches:
+        for slice_, own, m in zip(*(b.column(c).to_pylist() for c in ("slice", "n", "m"))):
+            if slice_ != last:
+                if last is not None:
+                    yield _slice(last, n, total)
+                last, n, total = slice_, 0, 0
+            n, total = n + own, total + np.frombuffer(m, np.float32).astype(float)
+    if last is not None:
+        yield _slice(last, n, total)
+
+
+def _slice(slice_: int, n: int, total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([slice_], pa.int32()), pa.array([n], pa.int64()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["slice", "n", "m"])
+
+
+def latent(docs: DataFrame, items: Items, texts: list[str], weight: np.ndarray) -> np.ndarray:
+    """Orthonormal directions, a row for each word of the vocabulary."""
     v = len(items.vocabulary)
     rank = min(RANK + EXTRA, v)
     basis = np.random.default_rng(SEED).standard_normal((v, rank)).astype(np.float32)
     own = pa.array(texts, pa.string())
     vocabulary = items.vocabulary
+    dealt = docs.select("text").coalesce(TASKS * docs.sparkSession.sparkContext.defaultParallelism)
     for _ in range(POWER + 1):
         q = np.linalg.qr(basis)[0].astype(np.float32)
 
@@ -171,12 +203,14 @@ def latent(sample: DataFrame, items: Items, texts: list[str], weight: np.ndarray
             into, n = np.zeros((v, rank), np.float32), 0
             for b in chunks(batches):
                 n += _round(b.column("text"), q, weight, vocabulary, into)
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([into.tobytes()], pa.binary())], ["n", "m"])
+            for lo in range(0, v, SLICE):
+                yield pa.RecordBatch.from_arrays([pa.array([lo // SLICE], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n]), pa.array([into[lo : lo + SLICE].tobytes()], pa.binary())], ["slice", "part", "n", "m"])
 
+        parts = dealt.mapInArrow(part, "slice int, part int, n bigint, m binary").repartition("slice").sortWithinPartitions("slice", "part")
         basis, n = np.zeros((v, rank), np.float32), 1
-        for r in sample.mapInArrow(part, "n bigint, m binary").toLocalIterator():
-            basis += np.frombuffer(r.m, np.float32).reshape(v, rank)
-            n += r.n
+        for r in parts.mapInArrow(_sum, "slice int, n bigint, m binary").toLocalIterator():  # one matrix in all
+            basis[r.slice * SLICE : (r.slice + 1) * SLICE] = np.frombuffer(r.m, np.float32).reshape(-1, rank)
+            n = 1 + r.n
         mine = np.zeros((v, rank), np.float32)
         count = _round(own, q, weight, vocabulary, mine)
         basis += mine * (ITEM_ENERGY * n / max(1, count))
@@ -380,11 +414,11 @@ class Search(NamedTuple):
 KIND = "doc_id bigint, item_id bigint, cosine double, common double, answer double"
 
 
-def _block(docs: DataFrame, sample: DataFrame, rows: list) -> DataFrame:
+def _block(docs: DataFrame, rows: list) -> DataFrame:
     items = items_of(rows)
     weight = idf(docs, items.vocabulary)
     texts = [r[1] if r[2] is None else f"{r[1]} {r[2]}" for r in rows if r[1]]
-    basis = latent(sample, items, texts, weight)
+    basis = latent(docs, items, texts, weight)
     term = np.concatenate([basis * weight[:-1, None], np.zeros((2, basis.shape[1]), np.float32)])
     search = Search(items, weight, term, groups_of(items, term), Bound.of(items, weight))
 
@@ -398,23 +432,21 @@ def _block(docs: DataFrame, sample: DataFrame, rows: list) -> DataFrame:
     return docs.mapInArrow(find, KIND)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, cosine, common, answer) of every match. benchmark: item_id, text and perhaps answer."""
     spark: SparkSession = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     listed = durable(benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text", answer.alias("answer")).where("item_id IS NOT NULL AND text IS NOT NULL"))
-    picked = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
-    sample = durable(docs.join(F.broadcast(picked), "doc_id").select("text").repartition(FIT_PARTS))  # at most fit_docs ids
     parts, block = [], []
     for r in listed.orderBy("item_id").toLocalIterator():
         if any(c.isalnum() for c in r.text):
             block.append((r.item_id, r.text, r.answer))
         if len(block) == ITEM_BLOCK:
-            parts.append(_block(docs, sample, block))
+            parts.append(_block(docs, block))
             block = []
     if block:
-        parts.append(_block(docs, sample, block))
+        parts.append(_block(docs, block))
     return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], KIND)
 
 
