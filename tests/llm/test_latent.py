@@ -3,11 +3,14 @@
 import random
 
 import numpy as np
+import pytest
 
+import corpus_pipeline
 from tessera.llm import decontamination
 
 
-def test_space_is_fitted_on_all_documents(spark, monkeypatch):
+@pytest.mark.parametrize("query", ["op7", "pipeline"])
+def test_space_is_fitted_on_all_documents(spark, monkeypatch, tmp_path, query):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(600)]
     topic = lambda k: [words[(k * 7 + rng.randrange(1 + k % 40)) % 600] for _ in range(rng.randrange(20, 160))]
@@ -18,7 +21,11 @@ def test_space_is_fitted_on_all_documents(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "groups_of", lambda own, term: seen.update(items=own, term=term) or groups(own, term))
     frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5, "doc_id")
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    decontamination.contaminated(frame, bench).count()
+    if query == "op7":
+        decontamination.contaminated(frame, bench).count()
+    else:
+        bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+        dict(corpus_pipeline.STAGES)["decontamination"](spark, frame, str(tmp_path)).count()
     vocabulary, term = seen["items"].vocabulary, seen["term"]
     v = len(vocabulary)
     assert decontamination.RANK + decontamination.EXTRA < v
