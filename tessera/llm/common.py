@@ -67,6 +67,8 @@ def stored(df: DataFrame) -> DataFrame:
     """As durable, but as a Parquet table: for slim tables of our own columns. Its size is known to the optimiser, and release() deletes it."""
     path = f"{checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # what was shuffled for it is never read again; its files go once the JVM has seen that, which may else be after the operator
+    df.sparkSession._jvm.System.gc()
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_path = path
     return out
