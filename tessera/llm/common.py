@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 #: Tasks that the rows of one key are dealt over.
 SPREAD = 16
+#: With it Spark deletes the shuffle files of an SQL execution when that ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -65,11 +67,17 @@ def durable(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """As durable, but as a Parquet table: for slim tables of our own columns. Its size is known to the optimiser, and release() deletes it."""
-    path = f"{checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # what was shuffled for it is never read again; its files go once the JVM has seen that, which may else be after the operator
-    df.sparkSession._jvm.System.gc()
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
+    # what is shuffled for it is never read again: its files go with the write, not when the JVM happens to collect
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    spark._jvm.System.gc()  # the driver's notes of them go then
+    out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
     return out
 
