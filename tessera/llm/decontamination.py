@@ -41,8 +41,10 @@ WINDOWS = ((STRIDE, BLOCKS), (8, 3), (4, 3), (1, 6), (1, 3), (1, 1))
 LEAST_COSINE, LEAST_LCS, LEAST_ANSWER, ITEM_BLOCK = 0.25, 0.7, 0.5, 256
 #: Energy of the items in the fit, as a multiple of the documents'; passages multiplied at a time.
 ITEM_ENERGY, AT_ONCE = 4, 256
-#: Cells of A multiplied at a time; rows of a slice of the tasks' matrices; tasks of a round of the fit for each core, as each returns a matrix.
-CELLS, SLICE, TASKS = 1024, 256, 2
+#: Sums made at a time; the most frequent words, whose cells of A are multiplied as whole blocks; passages of such a block.
+SUMS, HEAD, DENSE = 256, 192, 512
+#: Rows of a slice of the tasks' matrices; tasks of a round of the fit for each core, as each returns a matrix.
+SLICE, TASKS = 256, 2
 #: Passages whose vectors are held at a time.
 SLAB = 8192
 SEED = 7
@@ -71,8 +73,17 @@ def items_of(rows) -> Items:
 
 def _ids(h: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     """Each word's place in the vocabulary, or len(vocabulary)."""
-    at = np.searchsorted(vocabulary, h)
-    return np.where(vocabulary[np.minimum(at, len(vocabulary) - 1)] == h, at, len(vocabulary))
+    v, bits = len(vocabulary), (16 * len(vocabulary)).bit_length()
+    if len(h) < 1 << bits:
+        at = np.minimum(np.searchsorted(vocabulary, h), v - 1)
+    else:
+        # where the hashes with the same first bits begin; nearly always that's the place
+        shift = np.uint64(64 - bits)
+        count = np.bincount((vocabulary >> shift).astype(np.int64), minlength=1 << bits)
+        at = np.minimum(np.cumsum(count) - count, v - 1)[(h >> shift).astype(np.int64)]
+        late = np.flatnonzero(vocabulary[at] < h)
+        at[late] = np.minimum(np.searchsorted(vocabulary, h[late]), v - 1)
+    return np.where(vocabulary[at] == h, at, v)
 
 
 class Texts:
@@ -146,10 +157,19 @@ def idf(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
 
 def _add(into: np.ndarray, row: np.ndarray, value: np.ndarray, source: np.ndarray, at: np.ndarray) -> None:
     """into[row] += value * source[at]; row is sorted."""
-    for lo in range(0, len(row), CELLS):
-        own = row[lo : lo + CELLS]
-        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        into[own[first]] += np.add.reduceat(value[lo : lo + CELLS, None] * source[at[lo : lo + CELLS]], first, axis=0)
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    size = np.diff(np.append(first, len(row)))
+    # rows of most cells first: the k-th cells of those that have as many are added at once
+    order = np.argsort(-size, kind="stable")
+    for lo in range(0, len(order), SUMS):
+        own, less = first[order[lo : lo + SUMS]], -size[order[lo : lo + SUMS]]
+        total = source[at[own]] * value[own, None]
+        for k in range(1, -less[0]):
+            cell = own[: np.searchsorted(less, -k)] + k
+            part = source[at[cell]]
+            part *= value[cell, None]
+            total[: len(cell)] += part
+        into[row[own]] += total
 
 
 def _round(texts: pa.Array, basis: np.ndarray, weight: np.ndarray, vocabulary: np.ndarray, into: np.ndarray) -> int:
@@ -163,10 +183,23 @@ def _round(texts: pa.Array, basis: np.ndarray, weight: np.ndarray, vocabulary: n
     passage, place = cells // v, cells % v
     value = count * weight[place].astype(float)
     value = (value / np.maximum(np.sqrt(np.bincount(passage, value**2))[passage], 1e-9)).astype(np.float32) if len(cells) else np.zeros(0, np.float32)
-    product = np.zeros((int(per.sum()), basis.shape[1]), np.float32)
-    _add(product, passage, value, basis, place)
-    order = np.argsort(place, kind="stable")
-    _add(into, place[order], value[order], product, passage[order])
+    # cells of frequent words as blocks of passages by words; the others one by one
+    head = np.argsort(weight[:v], kind="stable")[:HEAD]
+    column = np.full(v, -1)
+    column[head] = np.arange(len(head))
+    column = column[place]
+    often, rest = np.flatnonzero(column >= 0), np.flatnonzero(column < 0)
+    product, lead = np.zeros((int(per.sum()), basis.shape[1]), np.float32), basis[head]
+    _add(product, passage[rest], value[rest], basis, place[rest])
+    ends = np.searchsorted(passage[often], np.arange(0, len(product) + DENSE, DENSE))
+    for k, lo in enumerate(range(0, len(product), DENSE)):
+        few, own = often[ends[k] : ends[k + 1]], product[lo : lo + DENSE]
+        block = np.zeros((len(own), len(head)), np.float32)
+        block[passage[few] - lo, column[few]] = value[few]
+        own += block @ lead
+        into[head] += block.T @ own
+    rest = rest[np.argsort(place[rest], kind="stable")]
+    _add(into, place[rest], value[rest], product, passage[rest])
     return len(product)
 
 
